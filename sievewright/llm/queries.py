@@ -4,13 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import bpe, simhash, substring, wordpiece
 from .common import table
 
 
+def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
+    """Path of a public vocabulary file and the pattern that goes with it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name), public_tokenizers.PATTERN
+
+
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), bpe.ByteBPE.from_file(*vocabulary())))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.token_counts(table(spark, sf_dir, "documents"), wordpiece.LongestMatch.from_file(vocabulary()[0]))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_simhash": op9_simhash}
+QUERIES = {f.__name__: f for f in (op2_substring, op6_bpe, op7_token_counts, op9_simhash)}
 ORACLES: dict[str, str] = {}
