@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, simhash, substring, wordpiece
+from . import bpe, simhash, sketch, substring, wordpiece
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.against_next(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), bpe.ByteBPE.from_file(*vocabulary())))
 
@@ -31,5 +35,5 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring, op6_bpe, op7_token_counts, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op2_substring, op3_fingerprints, op6_bpe, op7_token_counts, op9_simhash)}
 ORACLES: dict[str, str] = {}
