@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, simhash, sketch, substring, wordpiece
+from . import bpe, decontaminate, simhash, sketch, substring, wordpiece
 from .common import table
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, for Arrow batches of few rows: they hold whole texts, in each worker and twice on the way to it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    return table(spark, sf_dir, "documents")
+
+
 def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
     """Path of a public vocabulary file and the pattern that goes with it."""
     import public_tokenizers
@@ -16,24 +22,28 @@ def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
 
 
 def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return substring.remove_repeats(documents(spark, sf_dir)).drop("kept")
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sketch.against_next(table(spark, sf_dir, "documents"))
+    return sketch.against_next(documents(spark, sf_dir))
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), bpe.ByteBPE.from_file(*vocabulary())))
+    return bpe.digests(bpe.encode(documents(spark, sf_dir), bpe.ByteBPE.from_file(*vocabulary())))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wordpiece.token_counts(table(spark, sf_dir, "documents"), wordpiece.LongestMatch.from_file(vocabulary()[0]))
+    return wordpiece.token_counts(documents(spark, sf_dir), wordpiece.LongestMatch.from_file(vocabulary()[0]))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring, op3_fingerprints, op6_bpe, op7_token_counts, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op2_substring, op3_fingerprints, op6_bpe, op7_token_counts, op9_simhash, op10_decontamination)}
 ORACLES: dict[str, str] = {}
