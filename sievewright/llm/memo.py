@@ -21,8 +21,7 @@ class Memo:
     def known(self, keys: Iterable) -> dict:
         """A dict with the values of all `keys` at least; it holds until the next call."""
         young, old = self.young, self.old
-        missing = set(keys)
-        missing.difference_update(young)
+        missing = {k for k in keys if k not in young}  # set.difference would read all of `young`
         if missing:
             if len(young) + len(missing) > self.most:
                 self.old, self.young = old, young = young, {k: young[k] for k in keys if k in young}

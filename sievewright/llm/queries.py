@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, simhash, sketch, substring, wordpiece
+from . import bpe, decontaminate, simhash, sketch, substring, toxicity, wordpiece
 from .common import table
 
 
@@ -29,6 +29,11 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.against_next(documents(spark, sf_dir))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(documents(spark, sf_dir), bpe.ByteBPE.from_file(*vocabulary())))
 
@@ -45,5 +50,5 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring, op3_fingerprints, op6_bpe, op7_token_counts, op9_simhash, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_substring, op3_fingerprints, op5_toxicity, op6_bpe, op7_token_counts, op9_simhash, op10_decontamination)}
 ORACLES: dict[str, str] = {}
