@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import apart, column_names, columns, words_of, written
 
-LENGTH, GRAM, HEAVY = 50, 8, 512
+LENGTH, GRAM, HEAVY = 50, 8, 4096
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
