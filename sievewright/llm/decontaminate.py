@@ -229,3 +229,23 @@ def _runner(index: Index):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(found, pa.string())], ["doc_id", "text", "found"])
 
     return run
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """The rows of `docs` in whose text no test item is found, with all of their columns; null texts hold none."""
+    items = benchmark.select(*column_names(benchmark, item_id=item_col, text=item_text_col)).withColumn("item_id", F.col("item_id").cast("long"))
+    kept, schema = docs.select(*(F.col(f"`{n}`") for n in docs.columns)), docs.schema
+    for index in _shards(items, shard_bytes):
+        kept = kept.mapInArrow(_filter(index, text_col), schema)
+    return kept
+
+
+def _filter(index: Index, text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean: list[bool] = []
+            for (texts,) in columns(iter([batch]), text_col):
+                clean += [not m for m in matches(texts, index)]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return run

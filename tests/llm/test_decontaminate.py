@@ -90,6 +90,9 @@ def test_contamination(spark, shard_bytes):
         found = want[6 if r.doc_id is None else r.doc_id]
         assert (r.n_items, r.contaminated) == (len(found), bool(found))
         assert r.items == ",".join(f"{i}:{s:.4f}" for i, s in sorted(found.items()))
+    kept = D.keep_clean(docs, bench, shard_bytes=shard_bytes)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, kept.collect())) == sorted(str(r) for r in docs.collect() if not want[6 if r.doc_id is None else r.doc_id])
     nothing = D.contamination(docs, bench.where("false")).collect()
     assert len(nothing) == len(rows) + 2 and not any(r.contaminated for r in nothing)
     assert D.contamination(docs.where("false"), bench).collect() == []
