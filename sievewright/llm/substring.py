@@ -6,9 +6,11 @@ its anchor. Equal windows have equal anchors at equal offsets, so no repeat cros
 whose anchor is found in one document only has no repeat and is never built. Consecutive suffixes mostly
 share an anchor: a group gets one segment of text for all of them, not one copy for each.
 
-Anchors that more than `heavy` documents hold would make groups too large for a task. There the prefix is
-lengthened to all `length` words: what then still shares a prefix is one deep node, for which only
-the smallest doc_id counts, a minimum with map-side combine.
+Anchors that occur more than `heavy` times would make groups too large for a task. Such a group is dealt into
+blocks of documents with a tree each. A block's tree settles all suffixes but those of the smallest document of
+each node; their prefix is lengthened to all `length` words, and what then still shares a prefix over
+blocks is one deep node, for which only the smallest doc_id counts: a minimum over one row for each
+block and node, however many documents share it.
 
 A group's tree is an enhanced suffix array: ranks by doubling (lengths 1, 2, 4, ... words), the
 suffixes in their order, and the lengths of common prefixes of neighbours, found by descending over the
@@ -99,12 +101,13 @@ class SuffixTree:
         return self.order, np.flatnonzero(np.concatenate(([True], self.common < self.length)))
 
 
-def _repeats(docs: np.ndarray, texts: list, from_: np.ndarray, to: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of segments of whole groups: (segment, first window, last window) of each run of windows that a smaller doc_id has too."""
+def _repeats(docs: np.ndarray, texts: list, from_: np.ndarray, to: np.ndarray, split: np.ndarray, length: int) -> tuple[tuple, tuple]:
+    """Of segments of whole groups or blocks: (segment, first window, last window) of each run of windows that a smaller
+    doc_id has too, and, for segments of split groups, (segment, window, digest) of windows that none here has."""
     ids: dict = {}
-    split = [t.split() for t in texts]
-    words = np.fromiter((ids.setdefault(w, len(ids)) for s in split for w in s), np.int64)
-    offset = np.concatenate(([0], np.cumsum([len(s) for s in split])[:-1])).astype(np.int64)
+    words_of_each = [t.split() for t in texts]
+    words = np.fromiter((ids.setdefault(w, len(ids)) for s in words_of_each for w in s), np.int64)
+    offset = np.concatenate(([0], np.cumsum([len(s) for s in words_of_each])[:-1])).astype(np.int64)
     n = to - from_ + 1
     segment = np.repeat(np.arange(len(n)), n)
     window = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -114,13 +117,14 @@ def _repeats(docs: np.ndarray, texts: list, from_: np.ndarray, to: np.ndarray, l
     least = np.empty_like(doc)
     least[order] = np.repeat(np.minimum.reduceat(doc[order], first), np.diff(np.append(first, len(order))))
     hit = np.flatnonzero(doc > least)
-    if not hit.size:
-        return hit, hit, hit
-    new = np.concatenate(([True], (segment[hit][1:] != segment[hit][:-1]) | (window[hit][1:] != window[hit][:-1] + 1)))
+    new = np.concatenate(([True], (segment[hit][1:] != segment[hit][:-1]) | (window[hit][1:] != window[hit][:-1] + 1)))[: len(hit)]
     begin = np.flatnonzero(new)
-    end = np.append(begin[1:], len(hit)) - 1
+    end = np.append(begin[1:], len(hit))[: len(begin)] - 1
     seg = segment[hit[begin]]
-    return seg, from_[seg] + window[hit[begin]], from_[seg] + window[hit[end]]
+    runs = seg, from_[seg] + window[hit[begin]], from_[seg] + window[hit[end]]
+    open_ = np.flatnonzero((doc == least) & split[segment])
+    digests = [xxhash.xxh3_128_digest(b" ".join(words_of_each[i][w : w + length])) for i, w in zip(segment[open_].tolist(), window[open_].tolist(), strict=True)]
+    return runs, (segment[open_], from_[segment[open_]] + window[open_], digests)
 
 
 def _digests(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
@@ -138,36 +142,37 @@ def _digests(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Itera
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
 
 
+_SEGMENTS = {"key": pa.int64(), "block": pa.int64(), "split": pa.bool_(), "doc_id": pa.int64(), "text_hash": pa.int64(), "first": pa.int64(), "last": pa.int64(), "segment": pa.binary()}
+_SPANS = {"doc_id": pa.int64(), "text_hash": pa.int64(), "start": pa.int64(), "stop": pa.int64(), "node": pa.binary()}
+
+
 def _segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Documents with their repeated anchors -> a segment of text for an anchor, or the digests of its windows for a heavy one."""
-    kinds = {"heavy": pa.bool_(), "key": pa.int64(), "key2": pa.int64(), "doc_id": pa.int64(), "text_hash": pa.int64(), "first": pa.int32(), "last": pa.int32(), "segment": pa.binary()}
+    """Documents with their repeated anchors -> for each anchor the text of the windows that have it."""
     for ids, hashes, texts, found in columns(batches, "doc_id", "text_hash", "text", "found", at_once=64):
         out: list[tuple] = []
         for doc, text_hash, text, anchors_ in zip(ids, hashes, texts, found, strict=True):
             words = words_of(text)
             for a in anchors_:
-                lo, hi = a["first"], a["last"]
-                if not a["heavy"]:
-                    out.append((False, a["hash"], 0, doc, text_hash, lo, hi, b" ".join(words[lo : hi + length])))
-                    continue
-                for k in range(lo, hi + 1):
-                    d = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words[k : k + length])), np.int64)
-                    out.append((True, int(d[0]), int(d[1]), doc, text_hash, k, k, None))
+                lo, hi, blocks = a["first"], a["last"], a["blocks"]
+                out.append((a["hash"], text_hash % blocks, blocks > 1, doc, text_hash, lo, hi, b" ".join(words[lo : hi + length])))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds.values(), strict=True)], list(kinds))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), _SEGMENTS.values(), strict=True)], list(_SEGMENTS))
 
 
 def _trees(batches: Iterator[pa.RecordBatch], length: int, at_once: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Segments, those of a group next to each other -> the runs of windows that a smaller doc_id has too.
+    """Segments, those of a group's block next to each other -> spans that a smaller doc_id has too, without a node, and
+    with their nodes the windows of split groups that no smaller doc_id of the block has.
 
-    Groups are built together up to `at_once` bytes of text; a single group has HEAVY segments at most.
+    Blocks are built together up to `at_once` bytes of text; a single block has about `heavy` segments at most.
     """
-    names = ["doc_id", "text_hash", "start", "stop"]
 
     def build(rows: pa.Table) -> pa.RecordBatch:
         docs, hashes, first, last = (rows.column(c).to_numpy() for c in ("doc_id", "text_hash", "first", "last"))
-        seg, begin, end = _repeats(docs, rows.column("segment").to_pylist(), first.astype(np.int64), last.astype(np.int64), length)
-        return pa.RecordBatch.from_arrays([pa.array(docs[seg]), pa.array(hashes[seg]), pa.array(begin), pa.array(end + length)], names)
+        split = rows.column("split").to_numpy()
+        (seg, begin, end), (open_, at, digests) = _repeats(docs, rows.column("segment").to_pylist(), first, last, split, length)
+        of = np.concatenate([seg, open_])
+        start, stop = np.concatenate([begin, at]), np.concatenate([end, at]) + length
+        return pa.RecordBatch.from_arrays([pa.array(docs[of]), pa.array(hashes[of]), pa.array(start), pa.array(stop), pa.array([None] * len(seg) + digests, pa.binary())], list(_SPANS))
 
     held: list[pa.RecordBatch] = []
     size = 0
@@ -179,8 +184,8 @@ def _trees(batches: Iterator[pa.RecordBatch], length: int, at_once: int = 4 << 2
             if size < at_once:
                 continue
             rows = pa.Table.from_batches(held)
-            keys = rows.column("key").to_numpy()
-            cut = int(np.searchsorted(keys, keys[-1]))  # sorted by key: the last group may go on
+            keys, blocks = rows.column("key").to_numpy(), rows.column("block").to_numpy()
+            cut = int(np.argmax((keys == keys[-1]) & (blocks == blocks[-1])))  # sorted: the last block may go on
             if cut:
                 yield build(rows.slice(0, cut))
             held = rows.slice(cut).to_batches()
@@ -228,17 +233,17 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     occurs = occurs.select("doc_id", "text_hash", F.col("a.hashes").alias("hash"), F.col("a.first").alias("first"), F.col("a.last").alias("last"))
     shared = occurs.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi")
     found = occurs.join(shared.select(apart("hash"), "n"), "hash")
-    lists = found.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("hash", "first", "last", (F.col("n") > heavy).alias("heavy"))).alias("found"))
+    blocks = F.when(F.col("n") > heavy, F.ceil(F.col("n") * 1.5 / heavy)).otherwise(1).cast("long")
+    lists = found.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("hash", "first", "last", blocks.alias("blocks"))).alias("found"))
     held = texts.join(lists, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "found")
-    kinds = "heavy boolean, key long, key2 long, doc_id long, text_hash long, first int, last int, segment binary"
-    rows = written(held.mapInArrow(lambda batches: _segments(batches, length), kinds))
-    groups = rows.where("not heavy").select("key", "doc_id", "text_hash", "first", "last", "segment").repartition("key").sortWithinPartitions("key")
-    light = groups.mapInArrow(lambda batches: _trees(batches, length), "doc_id long, text_hash long, start long, stop long")
-    windows = rows.where("heavy")
-    nodes = windows.groupBy("key", "key2").agg(F.min("doc_id").alias("least"))
-    deep = windows.join(nodes.select(apart("key"), apart("key2"), "least"), ["key", "key2"]).where("doc_id > least")
-    deep = deep.select("doc_id", "text_hash", F.col("first").cast("long").alias("start"), (F.col("last") + length).cast("long").alias("stop"))
-    spans = light.unionByName(deep).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    segments = held.mapInArrow(lambda batches: _segments(batches, length), "key long, block long, split boolean, doc_id long, text_hash long, first long, last long, segment binary")
+    groups = segments.repartition("key", "block").sortWithinPartitions("key", "block")
+    rows = written(groups.mapInArrow(lambda batches: _trees(batches, length), "doc_id long, text_hash long, start long, stop long, node binary"))
+    open_ = rows.where("node is not null")
+    nodes = open_.groupBy("node").agg(F.min("doc_id").alias("least"))
+    deep = open_.join(nodes.select(F.concat("node", F.lit(b"")).alias("node"), "least"), "node").where("doc_id > least")
+    settled = rows.where("node is null").drop("node").unionByName(deep.drop("node", "least"))
+    spans = settled.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     copies = whole.select("doc_id", "text_hash", F.lit(None).cast("array<struct<start:bigint,stop:bigint>>").alias("spans"), F.lit(True).alias("copy"))
     return texts, spans.withColumn("copy", F.lit(False)).unionByName(copies)
 
