@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text, vectors
 from ..operators import folds, geometry, near_hash, quality, reports, sampling, selection, tagging
 
-from ..sources.tables import SQL, frames, hash_rows, size_rows, table, vector_rows
+from ..sources.tables import SQL, frames, hash_rows, size_rows, stream_table, table, vector_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -643,3 +643,41 @@ def version_compare(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", version.alias("version"), text.is_newer(version, F.lit("1.9.2")).alias("newer"))
 
 
+
+
+# --- streams ------------------------------------------------------------------------------------------
+
+
+def _streamed(spark: SparkSession, out: DataFrame, name: str) -> DataFrame:
+    """What a stream gives for what there is now, by way of a table in the shared folder."""
+    import uuid
+
+    from .storage import shared_folder
+
+    folder = f"{shared_folder(spark)}/stream-{name}-{uuid.uuid4().hex}"
+    query_ = out.writeStream.format("parquet").option("path", f"{folder}/data").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query_.awaitTermination()
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(out.schema).parquet(f"{folder}/data")
+
+
+@query(ORACLES["ssim_greedy_last20"])
+def stream_greedy(spark, sf_dir):
+    from ..streaming.folds import stream_fold
+
+    stream = stream_table(spark, sf_dir, "embeddings", "vec_id long, embedding array<float>, label int")
+    rows = stream.select(F.col("label").cast("long").alias("video"), F.col("vec_id").alias("idx"), vectors.as_grey(F.col("embedding").cast("array<double>")).alias("vec"))
+    return _streamed(spark, stream_fold(rows, lambda: folds.Diverse(0.20, 20)), "greedy")
+
+
+@query(
+    f"""WITH g AS (SELECT ts, {_REASON.format(b=100).replace('blur <', 'value <').replace('luma', '(event_id * 37 % 256)').replace('contrast <', '(event_id * 13 % 64) <')} AS reason FROM events)
+    SELECT date_trunc('day', ts) AS start, {_COUNTERS} FROM g GROUP BY ALL"""
+)
+def windowed_gate_counters(spark, sf_dir):
+    from ..streaming.windows import windowed_counters
+
+    e = table(spark, sf_dir, "events")
+    gated = e.select(F.col("ts").cast("timestamp").alias("ts"), quality.gate_reason(F.col("value"), F.col("event_id") * 37 % 256, F.col("event_id") * 13 % 64).alias("reason"))
+    return windowed_counters(gated, window="1 day").drop("end")

@@ -12,6 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream_table(spark: SparkSession, sf_dir: str, name: str, schema: str) -> DataFrame:
+    """A table as a stream of its files; the file source wants a folder, so a table of one file is picked out of its own."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    reader = spark.readStream.schema(schema)
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isFile():
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as frames: (video, frame_index, event_id, blur, t in seconds, luma, contrast)."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
