@@ -5,14 +5,16 @@ frames lo..hi (None: no bound). No decoder comes with this package.
 
     spark.dataSource.register(FrameSource)
     spark.read.format("frames").option("paths", "a.mp4\\nb.mp4").option("decoder", "module:function").load()
+
+The options `from` and `to` bound frame_index, both ends included, and save the decoder what lies outside.
 """
 
 from __future__ import annotations
 
 import importlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "video string, frame_index long, t double, height int, width int, channels int, data binary"
 
@@ -23,25 +25,14 @@ class _Video(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    """A partition for each video; bounds on frame_index go to the decoder."""
-
-    def __init__(self, paths: list[str], decoder: str):
-        self.paths, self.decoder = paths, decoder
-        self.lo: int | None = None
-        self.hi: int | None = None
-
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802
-        for f in filters:
-            if getattr(f, "attribute", None) != ("frame_index",):
-                yield f
-                continue
-            lo = {EqualTo: f.value, GreaterThanOrEqual: f.value, GreaterThan: f.value + 1}.get(type(f)) if isinstance(getattr(f, "value", None), int) else None
-            hi = {EqualTo: f.value, LessThanOrEqual: f.value, LessThan: f.value - 1}.get(type(f)) if isinstance(getattr(f, "value", None), int) else None
-            if lo is None and hi is None:
-                yield f
-                continue
-            self.lo = lo if self.lo is None else self.lo if lo is None else max(lo, self.lo)
-            self.hi = hi if self.hi is None else self.hi if hi is None else min(hi, self.hi)
+    """A partition for each video.
+
+    Bounds come as options, which belong to one reader; Spark keeps a reader's pushed filters for
+    every later query of the same relation, so a filter pushed by one would narrow the others.
+    """
+
+    def __init__(self, paths: list[str], decoder: str, lo: int | None, hi: int | None):
+        self.paths, self.decoder, self.lo, self.hi = paths, decoder, lo, hi
 
     def partitions(self) -> list[InputPartition]:
         return [_Video(p) for p in self.paths]
@@ -66,4 +57,5 @@ class FrameSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         if "decoder" not in self.options:
             raise ValueError("the option decoder names a function, as module:function")
-        return _Reader([p for p in self.options.get("paths", "").split("\n") if p], self.options["decoder"])
+        bound = lambda name: int(self.options[name]) if name in self.options else None
+        return _Reader([p for p in self.options.get("paths", "").split("\n") if p], self.options["decoder"], bound("from"), bound("to"))
