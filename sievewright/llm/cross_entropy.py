@@ -70,30 +70,45 @@ class Vocabulary:
         return before * self.size + codes, sizes
 
 
-def bigram_counts(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", most: int = 1 << 20) -> DataFrame:
-    """(code long, n long) over all texts; each task adds up about `most` different bigrams before it passes them on."""
+def bigram_counts(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", target_col: str | None = None, most: int = 1 << 20) -> DataFrame:
+    """(code long, n long, target long) over all texts, and over those of them that are flagged as target.
+
+    Each task adds up about `most` different bigrams before it passes them on.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, counts, new, waiting = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
+        empty = np.empty(0, np.int64)
+        codes, counts, targets = empty, empty, empty
+        new: list[np.ndarray] = []
+        flags: list[np.ndarray] = []
+        waiting = 0
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             every, where = np.unique(np.concatenate([codes, *new]), return_inverse=True)
             n = np.concatenate([counts, np.ones(waiting, np.int64)])
-            return every, np.bincount(where, n, len(every)).astype(np.int64)
+            t = np.concatenate([targets, *flags])
+            return every, *(np.bincount(where, x, len(every)).astype(np.int64) for x in (n, t))
 
-        for (texts,) in columns(batches, "text"):
-            new.append(vocabulary.bigrams(texts)[0])
-            waiting += len(new[-1])
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts), pa.array(targets)], ["code", "n", "target"])
+
+        for texts, wanted in columns(batches, "text", "target"):
+            found, sizes = vocabulary.bigrams(texts)
+            new.append(found)
+            flags.append(np.repeat(np.array(wanted, np.int64), sizes))
+            waiting += len(found)
             if waiting > most:
-                codes, counts = merged()
-                new, waiting = [], 0
+                codes, counts, targets = merged()
+                new, flags, waiting = [], [], 0
                 if len(codes) > most:
-                    yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], ["code", "n"])
-                    codes, counts = codes[:0], counts[:0]
-        codes, counts = merged()
-        yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], ["code", "n"])
+                    yield rows()
+                    codes, counts, targets = empty, empty, empty
+        codes, counts, targets = merged()
+        yield rows()
 
-    return docs.select(*column_names(docs, text=text_col)).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    target = F.col(target_col).cast("boolean") if target_col else F.lit(False)
+    picked = docs.select(*column_names(docs, text=text_col), F.coalesce(target, F.lit(False)).alias("target"))
+    return picked.mapInArrow(run, "code long, n long, target long").groupBy("code").agg(F.sum("n").alias("n"), F.sum("target").alias("target"))
 
 
 @dataclass
@@ -125,17 +140,21 @@ class Bigrams:
         return out
 
 
-def _model(counts: DataFrame, vocabulary: Vocabulary, share: float) -> Bigrams:
-    """The model of the counts. Two small results come to the driver: a sum for each word of the vocabulary, and the named bigrams."""
-    size = vocabulary.size
-    words = np.zeros(size)
+def _models(counts: DataFrame, vocabulary: Vocabulary, share: float) -> tuple[Bigrams, Bigrams]:
+    """(target, background). Two small results come to the driver: sums for each word of the vocabulary, and the named bigrams."""
+    words = np.zeros((2, vocabulary.size))
     counts = counts.persist()
-    for r in counts.groupBy((F.col("code") % size).alias("word")).agg(F.sum("n").alias("n")).toLocalIterator():
-        words[r.word] = r.n
-    least = max(LEAST, words.sum() * share)
-    rows = counts.where(F.col("n") >= least).toPandas().sort_values("code")
+    word = (F.col("code") % vocabulary.size).alias("word")
+    for r in counts.groupBy(word).agg(F.sum("n").alias("n"), F.sum("target").alias("target")).toLocalIterator():
+        words[:, r.word] = r.target, r.n
+    least = [max(LEAST, n * share) for n in words.sum(1)]
+    rows = counts.where((F.col("target") >= least[0]) | (F.col("n") >= least[1])).toPandas().sort_values("code")
     counts.unpersist()
-    return Bigrams(words, rows["code"].to_numpy(np.int64), rows["n"].to_numpy(np.float64))
+    out = []
+    for name, own, bound in zip(("target", "n"), words, least, strict=True):
+        named = rows[rows[name] >= bound]
+        out.append(Bigrams(own, named["code"].to_numpy(np.int64), named[name].to_numpy(np.float64)))
+    return out[0], out[1]
 
 
 @dataclass
@@ -163,10 +182,10 @@ def train(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_c
     chosen = counts.where(F.col("n") >= max(LEAST, total * share))
     vocabulary = Vocabulary(sorted(bytes(r.word) for r in chosen.select("word").toLocalIterator()))
     counts.unpersist()
-    background = _model(bigram_counts(picked, vocabulary), vocabulary, share)
+    # both tables grow with the corpus: the join is a merge of two exchanges at every size
     wanted = target_ids.select(F.col("doc_id").alias("_target")).where("_target is not null").distinct()
-    target = picked.join(wanted, F.col("doc_id") == F.col("_target"), "left_semi")
-    return Scorer(vocabulary, _model(bigram_counts(target, vocabulary), vocabulary, share), background)
+    flagged = picked.join(wanted.hint("merge"), F.col("doc_id") == F.col("_target"), "left").withColumn("target", F.col("_target").isNotNull())
+    return Scorer(vocabulary, *_models(bigram_counts(flagged, vocabulary, target_col="target"), vocabulary, share))
 
 
 def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
