@@ -19,10 +19,15 @@ def _extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1))
 
 
+def plain_path(path: Column) -> Column:
+    """Local paths without a scheme, which Spark's sources write in different ways; others as they are."""
+    return F.regexp_replace(path, r"^file:/+", "/")
+
+
 def _listed(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, modified) of all files below a path; contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "length", F.col("modificationTime").alias("modified"))
+    return files.select(plain_path(F.col("path")).alias("path"), "length", F.col("modificationTime").alias("modified"))
 
 
 def discover_videos(spark: SparkSession, path: str) -> DataFrame:
@@ -44,7 +49,7 @@ def collect_images(spark: SparkSession, folder: str, rejected: str = "_rejected"
 def read_images(spark: SparkSession, folder: str) -> DataFrame:
     """(path, height, width, channels, data): decoded by the JVM, blue green red; what can't be decoded is left out."""
     images = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "true").load(folder)
-    return images.select(F.col("image.origin").alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
+    return images.select(plain_path(F.col("image.origin")).alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
 
 
 def load_vocabulary(spark: SparkSession, path: str) -> DataFrame:
