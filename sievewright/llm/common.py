@@ -2,50 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import checkpointed, written
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["apart", "checkpointed", "column_names", "columns", "table", "words_of", "written"]
 
-def _shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that all executors share.
 
-    It is the one named in spark.checkpoint.dir. Only a local master without that setting (tests)
-    gets a temporary one; a cluster without it is an error, as no shared folder can be guessed.
-    """
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local["):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="sievewright-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` with a reliable checkpoint; for narrow rows, as it isn't compressed."""
-    _shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` with a compressed table in the shared folder, which goes when the session's JVM ends."""
-    spark = df.sparkSession
-    folder = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(folder)
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(folder)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def columns(batches: Iterator[pa.RecordBatch], *names: str, at_once: int = 256) -> Iterator[list[list]]:
