@@ -15,12 +15,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column_names, columns, words_of, written
 
-WIDTH, SCALE, FLOOR = 5, 32, 32
+WIDTH, SCALE, FLOOR = 5, 32, 64
 _TOP = np.uint64(2**64 - 1)
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
 
@@ -95,16 +96,25 @@ def _compare(doc: int | None, text: str, own: np.ndarray, next_text: str, next_o
     return doc, n, hashlib.sha256(edited.encode()).hexdigest(), raw(own), raw(changed), near, near_next, held, held_next
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one: the sort and the exchange hold a good third less than with Spark's own block compression."""
+    pack = zstandard.ZstdCompressor(level=3, write_checksum=False).compress
+    for ids, ties, texts in columns(batches, "doc_id", "tie", "text"):
+        packed = [pack((t or "").encode()) for t in texts]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ties, pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "tie", "packed"])
+
+
 def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A sorted partition -> a row for each document but the last; the first and the last come with their texts."""
     names = [*_RESULT, "edge", "text"]
     kinds = [*_RESULT.values(), pa.string(), pa.string()]
     nothing = (None,) * (len(_RESULT) - 1)
+    unpack = zstandard.ZstdDecompressor().decompress
     last = None
-    for ids, texts in columns(batches, "doc_id", "text"):
+    for ids, texts in columns(batches, "doc_id", "packed"):
         rows = []
-        for doc, text in zip(ids, texts, strict=True):
-            text = text or ""
+        for doc, packed in zip(ids, texts, strict=True):
+            text = unpack(packed).decode()
             own = sketch(words_of(text))
             if last is None:
                 rows.append((doc, *nothing, "first", text))
@@ -136,8 +146,9 @@ def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     next one there; only the partitions' edges, two documents each, are joined afterwards.
     """
     picked = docs.select(*column_names(docs, doc_id=id_col, text=text_col)).withColumn("doc_id", F.col("doc_id").cast("long"))
-    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
-    ranged = picked.repartitionByRange(*order).sortWithinPartitions(*order)
+    order = [F.col("doc_id").desc_nulls_last(), F.col("tie")]
+    packed = picked.withColumn("tie", F.xxhash64("text")).mapInArrow(_packed, "doc_id long, tie long, packed binary")
+    ranged = packed.repartitionByRange(*order).sortWithinPartitions(*order)
     rows = written(ranged.mapInArrow(_in_order, f"{_RESULT_SCHEMA}, edge string, text string").withColumn("part", F.spark_partition_id()))
     edges = rows.where("edge is not null").select("doc_id", "edge", "text", "part")
     firsts = edges.where("edge = 'first'").select("part", F.col("text").alias("next_text"))
