@@ -12,7 +12,7 @@ import base64
 import hashlib
 from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -90,6 +90,7 @@ class ByteBPE:
         self.ranks, self.pattern = ranks, pattern
         tokens = list(ranks)
         self.hash = PerfectHash(tokens)
+        self.of_two = [ranks.get(bytes(divmod(k, 256)), -1) for k in range(1 << 16)]
         self.by_slot: list = [None] * len(tokens)
         for t, s in zip(tokens, self.hash.slots(tokens).tolist(), strict=True):
             self.by_slot[s] = (t, (ranks[t],))
@@ -102,28 +103,35 @@ class ByteBPE:
             return cls({base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}, pattern)
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
-        """Ids of one pre-token: always the leftmost pair of lowest rank is merged next."""
-        n, rank = len(piece), self.ranks.get
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
+        """Ids of one pre-token: always the leftmost pair of lowest rank is merged next.
+
+        A heap entry is one number made of a pair's rank, start and end. Entries stay when one of
+        their two parts is merged otherwise, and are passed over when they come up.
+        """
+        n, rank, two = len(piece), self.ranks.get, self.of_two
+        bits = n.bit_length()
+        twice, mask = 2 * bits, (1 << bits) - 1
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+        heap = [r << twice | i << bits | i + 2 for i, (a, b) in enumerate(pairwise(piece)) if (r := two[a << 8 | b]) >= 0]
         heapify(heap)
         while heap:
-            _, i, end = heappop(heap)
+            entry = heappop(heap)
+            i, end = entry >> bits & mask, entry & mask
             j = after[i]
             if j == 0 or j >= n or after[j] != end:
-                continue  # one of the two has been merged since
+                continue
             after[i], after[j] = end, 0
             if end < n:
                 before[end] = i
                 e = after[end]
                 if (r := rank(piece[i:e])) is not None:
-                    heappush(heap, (r, i, e))
+                    heappush(heap, r << twice | i << bits | e)
             p = before[i]
             if p >= 0 and (r := rank(piece[p:end])) is not None:
-                heappush(heap, (r, p, end))
+                heappush(heap, r << twice | p << bits | end)
         ids, i = [], 0
         while i < n:
-            ids.append(self.ranks[piece[i : after[i]]])
+            ids.append(rank(piece[i : after[i]]))
             i = after[i]
         return tuple(ids)
 
@@ -135,7 +143,7 @@ class ByteBPE:
 
     def encode_texts(self, texts: Iterable[str | None]) -> list[list[int]]:
         split = regex.compile(self.pattern).findall
-        memo = kept(("bpe", self.name), lambda: Memo(self.encode_pieces))
+        memo = kept(("bpe", self.name), lambda: Memo(self.encode_pieces, most=400_000))
         out = []
         for text in texts:
             pieces = split(text) if text else []
