@@ -85,3 +85,16 @@ def thinned(frames: DataFrame, gap: int, video: str = "video", index: str = "fra
 
     picked = frames.select(video, index).distinct()
     return picked.repartition(video).sortWithinPartitions(video, index).mapInArrow(run, picked.schema)
+
+
+def even_sample(videos: DataFrame, count: int, fewest: int = 5, frame_count: str = "frame_count", video: str = "video") -> DataFrame:
+    """(video, frame_index) of `count` frames at a fixed step from the start; none of videos with too few frames."""
+    step = F.greatest(F.lit(1).cast("long"), F.floor(F.col(frame_count) / count).cast("long"))
+    picked = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")), lambda i: i * step)
+    return videos.where(F.col(frame_count) >= fewest).select(video, F.explode(F.filter(picked, lambda i: i < F.col(frame_count))).alias("frame_index"))
+
+
+def probed_size(line: Column) -> Column:
+    """Struct (w, h) of a decoder's description of a video stream; zeros where it has no size."""
+    side = lambda k: F.coalesce(F.regexp_extract(line, r"(\d{2,5})x(\d{2,5})", k).try_cast("int"), F.lit(0))
+    return F.struct(side(1).alias("w"), side(2).alias("h"))

@@ -166,6 +166,21 @@ def keyframe_cap(spark, sf_dir):
     return sampling.first_frames(frames(spark, sf_dir), 20).select("video", "frame_index")
 
 
+@query("""WITH v AS (SELECT c_custkey AS video, c_custkey * 13 % 400 AS n FROM customer)
+    SELECT video, i * greatest(1, n // 8) AS frame_index FROM v, range(8) r(i) WHERE n >= 5 AND i * greatest(1, n // 8) < n""")
+def overlay_sample(spark, sf_dir):
+    k = F.col("c_custkey")
+    return sampling.even_sample(table(spark, sf_dir, "customer").select(k.alias("video"), (k * 13 % 400).alias("frame_count")), 8)
+
+
+@query("""WITH l AS (SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'Video: none' ELSE 'Video: h264, yuv420p, ' || (p_partkey % 3000) || 'x' || (p_size * 20) || ', 30 fps' END AS line FROM part)
+    SELECT p_partkey, coalesce(try_cast(regexp_extract(line, '(\\d{2,5})x(\\d{2,5})', 1) AS INT), 0) AS w, coalesce(try_cast(regexp_extract(line, '(\\d{2,5})x(\\d{2,5})', 2) AS INT), 0) AS h FROM l""")
+def probe_resolution(spark, sf_dir):
+    k = F.col("p_partkey")
+    line = F.when(k % 4 == 0, "Video: none").otherwise(F.concat(F.lit("Video: h264, yuv420p, "), (k % 3000).cast("string"), F.lit("x"), (F.col("p_size") * 20).cast("string"), F.lit(", 30 fps")))
+    return table(spark, sf_dir, "part").select("p_partkey", sampling.probed_size(line).alias("s")).select("p_partkey", "s.w", "s.h")
+
+
 # --- buckets and geometry -----------------------------------------------------------------------------
 
 _GRID = "grid AS (SELECT w.r AS bucket_w, h.r AS bucket_h FROM range(512, 2049, 64) w(r), range(512, 2049, 64) h(r) WHERE w.r * h.r <= 1024 * 1024)"

@@ -252,3 +252,13 @@ def test_scenes(spark):
     got = sampling.scenes(spark.createDataFrame(rows, "video int, frame_index int, luma double, t double"), 100).orderBy("scene").collect()
     assert [(r.start_frame, r.end_frame) for r in got] == [(0, 15), (15, 25), (25, 35)]
     assert all(a.end_time == b.start_time for a, b in pairwise(got))
+
+
+def test_run_can_be_watched(spark):
+    from sievewright.plans import running
+
+    with running.run_named(spark, "watched"):
+        spark.range(100, numPartitions=3).selectExpr("sum(id)").collect()
+    done, known = running.progress(spark, "watched")
+    assert done == known >= 1 or known == 0
+    running.stop(spark, "watched")
