@@ -15,7 +15,6 @@ postings read and scores added up.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,9 +41,13 @@ def normal_words(text: str | None) -> list[bytes]:
 def question_and_answer(text: str) -> tuple[str, str]:
     """An item's answer is what follows its last question mark, else its last line, else its last sentence, else its second half."""
     text = text.strip()
-    for pattern in (r"\?(?=[^?]*\w)", r"\n(?=[^\n]*\w[^\n]*$)", r"[.!](?=\s[^.!]*\w[^.!]*[.!]?$)"):
-        if found := list(re.finditer(pattern, text)):
-            return text[: found[-1].end()], text[found[-1].end() :]
+    for ends in ("?", "\n", ".!"):
+        follows = False  # whether a word comes after this place
+        for i in range(len(text) - 1, -1, -1):
+            if text[i].isalnum():
+                follows = True
+            elif follows and text[i] in ends and (ends != ".!" or text[i + 1].isspace()):
+                return text[: i + 1], text[i + 1 :]
     words = text.split()
     return " ".join(words[: len(words) // 2]), " ".join(words[len(words) // 2 :])
 

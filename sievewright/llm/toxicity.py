@@ -44,7 +44,6 @@ SAMPLE, SUPPORT, Z = {1: 2000, 0: 4000}, 3, 3.0
 _WORD = re.compile(r"[^\W\d_]+")
 _TRIPLE = re.compile(r"(.)\1\1")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_*]{1,3}){3,}[^\W_](?![^\W_])")
-_EDGE_RUN = re.compile(r"^([^\w\s])\1\1+|([^\w\s])\2\2+$")
 _TRIM = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in LEET) + "«»“”„…–—’"
 
 
@@ -91,6 +90,15 @@ def character_costs(counts: dict[int, int]) -> np.ndarray:
     return -np.log(three)
 
 
+def _without_ornament(token: str) -> str:
+    """A token without a run of three or more equal signs at either end."""
+    for strip in (str.lstrip, str.rstrip):
+        sign = token[:1] if strip is str.lstrip else token[-1:]
+        if sign and not sign.isalnum() and len(token) - len(rest := strip(token, sign)) >= 3:
+            token = rest
+    return token
+
+
 class Restorer:
     def __init__(self, costs: np.ndarray):
         self.costs = costs.tolist()
@@ -130,7 +138,7 @@ class Restorer:
 
     def words(self, token: str) -> list[str]:
         """The words of a token without white space, in lower case."""
-        core = _EDGE_RUN.sub("", token).strip(_TRIM)
+        core = _without_ornament(token).strip(_TRIM)
         if core.isalpha() and not _TRIPLE.search(core):
             return [core]
         plain = core.rstrip("!|+(").lstrip("|+(")  # at an end these mostly are what they look like

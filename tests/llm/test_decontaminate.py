@@ -75,6 +75,8 @@ def test_question_and_answer():
     assert D.question_and_answer("one two\nthree\n") == ("one two\n", "three")
     assert D.question_and_answer("One two. Three four. Five.") == ("One two. Three four.", " Five.")
     assert D.question_and_answer("a b c d") == ("a b", "c d")
+    assert D.question_and_answer("Why? How? Yes.") == ("Why? How?", " Yes.") and D.question_and_answer("3.14 is pi") == ("3.14", "is pi")
+    assert D.question_and_answer("") == ("", "") and D.question_and_answer("Who?") == ("", "Who?")
 
 
 @pytest.mark.parametrize("shard_bytes", [1 << 20, 900])

@@ -72,6 +72,13 @@ def test_spaced_words_are_restored(costs):
     assert T.Restorer(costs).words("12,5") == [] and T.Restorer(costs).words("") == []
 
 
+def test_long_runs_take_linear_time(costs):
+    restorer = T.Restorer(costs)
+    for token in ("a" + "*" * 200_000 + "b", "=" * 200_000, "$" * 100_000 + "x", "1" * 20_000 + "a"):
+        restorer.words(token)
+    restorer.spaced("a b " * 5_000 + "ab")
+
+
 def test_scores(spark):
     rows = corpus(600)
     docs = spark.createDataFrame([(i, t, 0.5, "x") for i, t, _ in rows] + [(1000, None, 0.0, ""), (1001, "", 0.0, ""), (None, "idiot moron scum", 0.0, "")], "doc_id long, text string, score double, predicted string")
