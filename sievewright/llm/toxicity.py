@@ -8,8 +8,8 @@ restoration. The restored words are then scored.
 
 The score is learned from a bounded sample of labelled rows. Each whole word and each beginning and
 end of 4 to 6 letters has the lower confidence bound of its log odds between the classes; a word
-has the largest of its parts', a document its two largest words', and a logistic regression, fitted on
-halves that the bounds weren't taken from, makes a probability of them.
+has the largest of its parts', a document its two largest words' and, if only one word is marked, that one's again; a logistic
+regression, fitted on halves that the bounds weren't taken from, makes a probability of them.
 """
 
 from __future__ import annotations
@@ -163,7 +163,7 @@ def parts(word: str) -> set[str]:
 class Model:
     costs: np.ndarray
     weights: dict[str, float] = field(default_factory=dict)
-    logistic: tuple[float, ...] = (-50.0, 0.0, 0.0)
+    logistic: tuple[float, ...] = (-50.0, 0.0, 0.0, 0.0)
     name: str = ""
 
     def __post_init__(self) -> None:
@@ -185,19 +185,23 @@ class _Scorer:
     restorer: Restorer
     memo: Memo
 
-    def features(self, text: str | None) -> tuple[float, float]:
-        """The scores of the document's two highest-scored different tokens."""
+    def features(self, text: str | None) -> list[float]:
         low = (text or "").lower()
         tokens = set(low.split())
         scores = list(map(self.memo.known(tokens).__getitem__, tokens))
         scores += map(self.model.word_score, self.restorer.spaced(low))
-        first, second = nlargest(2, [*scores, 0.0, 0.0])
-        return first, second
+        return document_features(scores)
 
     def score(self, text: str | None) -> float:
-        a, b, c = self.model.logistic
-        x, y = self.features(text)
-        return 1 / (1 + math.exp(-max(-50.0, min(50.0, a + b * x + c * y))))
+        first, *rest = self.model.logistic
+        total = first + sum(w * x for w, x in zip(rest, self.features(text), strict=True))
+        return 1 / (1 + math.exp(-max(-50.0, min(50.0, total))))
+
+
+def document_features(scores: list[float]) -> list[float]:
+    """The scores of the two highest-scored different tokens, and the first again if it is the only one."""
+    first, second = nlargest(2, [*scores, 0.0, 0.0])
+    return [first, second, 0.0 if second else first]
 
 
 def log_odds(docs: list[set[str]], labels: np.ndarray) -> dict[str, float]:
@@ -222,7 +226,7 @@ def log_odds(docs: list[set[str]], labels: np.ndarray) -> dict[str, float]:
     return out
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 50) -> np.ndarray:
     """Intercept and weights by Newton's method; the intercept isn't penalised."""
     x = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(x.shape[1])
@@ -237,10 +241,11 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
 
 
 def fit(texts: list[str], labels: list[int], costs: np.ndarray) -> Model:
-    """The model of the given rows; with one class only, its share is every document's score."""
-    y = np.array(labels, float)
+    """The model of the given rows, of which equal texts count once; with one class only, its share is every document's score."""
+    pairs = sorted(dict(zip(texts, labels, strict=True)).items())  # copies of a text are one witness
+    texts, y = [t for t, _ in pairs], np.array([label for _, label in pairs], float)
     if not len(y) or y.min() == y.max():
-        return Model(costs, {}, (50.0 if len(y) and y.max() else -50.0, 0.0, 0.0))
+        return Model(costs, {}, (50.0 if len(y) and y.max() else -50.0, 0.0, 0.0, 0.0))
     restorer = Restorer(costs)
     memo = Memo(lambda tokens: list(map(restorer.words, tokens)), most=100_000)
     docs = []
@@ -250,11 +255,11 @@ def fit(texts: list[str], labels: list[int], costs: np.ndarray) -> Model:
         known = memo.known(tokens)
         docs.append({w for t in tokens for w in known[t]} | set(restorer.spaced(low)))
     fold = np.array([xxhash.xxh64_intdigest(t.encode()) % 2 for t in texts])
-    x = np.zeros((len(docs), 2))
+    x = np.zeros((len(docs), 3))
     for half in (0, 1):
         model = Model(costs, log_odds([d for d, f in zip(docs, fold, strict=True) if f != half], y[fold != half]))
         for i in np.flatnonzero(fold == half):
-            x[i] = nlargest(2, [*map(model.word_score, docs[i]), 0.0, 0.0])
+            x[i] = document_features(list(map(model.word_score, docs[i])))
     return Model(costs, log_odds(docs, y), tuple(fit_logistic(x, y).tolist()))
 
 
@@ -282,13 +287,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         both: list[tuple] = []
         for some in columns(batches, "text", "toxic"):
             both += zip(*some, strict=True)
-        both.sort()  # the order of rows doesn't matter
+        both.sort()  # the order of rows doesn't matter; of copies that disagree, toxic ones count
         model = fit([t for t, _ in both], [y for _, y in both], costs)
         items = [*model.weights.items(), *((f"#{i}", w) for i, w in enumerate(model.logistic))]
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in items]), pa.array([float(w) for _, w in items])], ["part", "weight"])
 
     found = dict(rows.repartition(1).mapInArrow(run, "part string, weight double").collect())
-    logistic = tuple(found.pop(f"#{i}", d) for i, d in enumerate((-50.0, 0.0, 0.0)))
+    logistic = tuple(found.pop(f"#{i}", d) for i, d in enumerate((-50.0, 0.0, 0.0, 0.0)))
     return Model(costs, found, logistic)
 
 
