@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 from . import sinks
 from .config import Config, list_presets, load_preset
 from .functions import text
-from .operators import inference, quality, tagging
+from .operators import inference, overlays, quality, tagging
 from .plans import extract
 from .plans.shipping import ship
+from .plans.storage import written
 from .sources import files, settings
 from .sources.video import FrameSource
 
@@ -89,7 +90,8 @@ def _extract(spark: SparkSession, args: argparse.Namespace) -> dict:
         named = text.file_name(F.col("video"))
         spans = settings.segments(spark, args.segment)
         frames = quality.in_segments(frames.withColumn("_name", named), spans.withColumnRenamed("video", "_name"), video="_name").drop("_name")
-    done = extract.curated(extract.measured(frames, config), config)
+    found = written(overlays.detected(frames)) if config.detect_watermark or config.crop_watermark else None
+    done = extract.curated(extract.measured(frames, config, found), config, watermarks=found)
     images = extract.rendered(done.records, frames, config, sinks.encoder(config.output_format))
     n = sinks.save_files(images, config.output)
     sinks.save_files(sinks.stats_files(done.stats), config.output)
@@ -99,13 +101,13 @@ def _extract(spark: SparkSession, args: argparse.Namespace) -> dict:
 
 
 def tag_folder(spark: SparkSession, folder: str, make_model, vocabulary: str, trigger: str = "", threshold: float = 0.35, character_threshold: float = 0.85, blacklist: str = "", always: str = "", require: str = "", exclude: str = "", prune_threshold: float = 0.0) -> dict:
-    """Write a caption beside each image of a folder; numbers of what became of them.
+    """Write a caption beside each image of a folder, and move rejected images, with their old captions, below `_rejected`.
 
-    Rejected images get no caption and are listed; moving them is left to who owns the folder.
+    Returns numbers of what became of them.
     """
-    listed = files.collect_images(spark, folder).select("path")
+    listed = written(files.collect_images(spark, folder).select("path"))  # the folder changes below
     images = files.read_images(spark, folder).join(listed, "path", "left_semi")
-    scores = inference.probabilities(images, make_model).persist()
+    scores = written(inference.probabilities(images, make_model))
     good = scores.where("error is null").select("image")
     tags = tagging.picked(tagging.scored(scores.where("error is null"), files.load_vocabulary(spark, vocabulary)), threshold, character_threshold).persist()
     kept = tagging.accepted(good, tags, text.parse_tags(require), text.parse_tags(exclude))
@@ -116,11 +118,15 @@ def tag_folder(spark: SparkSession, folder: str, make_model, vocabulary: str, tr
     below = F.expr(f"substring(image, {len(root) + 2})")
     side = sinks.sidecars(captions.select(below.alias("image"), "caption"))
     tagged = sinks.save_files(side, root)
+    refused = good.join(kept, "image", "left_anti").select(F.expr(f"substring(image, {len(root) + 2})").alias("path"))
+    old = refused.select(F.regexp_replace("path", r"\.[^./]*$", ".txt").alias("path"))
+    sinks.move_files(refused.select("path", sinks.rejected_path(F.col("path")).alias("target")), root)
+    sinks.move_files(old.select("path", sinks.rejected_path(F.col("path")).alias("target")), root)
     n, ok, accepted = listed.count(), good.count(), kept.count()
     out = {"total": n, "tagged": tagged, "rejected": ok - accepted, "failed": n - ok + accepted - tagged}
     out["pruned"] = sorted(r.token for r in pruned.collect()) if pruned is not None else []
     out["top"] = [list(r) for r in tagging.top(tagging.frequencies(tokens, trigger), 10).collect()]
-    for df in (scores, tags, captions):
+    for df in (captions, tags):
         df.unpersist()
     return out
 

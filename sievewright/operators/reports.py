@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import file_name
+
 
 def bucket_histogram(bucketed: DataFrame) -> DataFrame:
     """(bucket, n), such as 1024x768."""
@@ -61,4 +63,21 @@ def hover_lines(blur: Column, bucket: Column, index: Column, source: Column, tag
     """What a gallery says of an image, a line for each thing known; of the tags the first few."""
     few = F.array_join(F.slice(tags, 1, shown), ", ")
     listed = F.when(F.size(tags) > shown, F.concat(few, F.lit(" …"))).when(F.size(tags) > 0, few)
-    return F.concat_ws("\n", F.concat(F.lit("blur "), F.format_string("%.1f", blur)), F.concat(F.lit("bucket "), bucket), F.concat(F.lit("frame #"), index.cast("string")), F.concat(F.lit("src: "), source), F.concat(F.lit("tags: "), listed))
+    return F.concat_ws("\n", F.when(blur.isNotNull(), F.format_string("blur %.1f", blur)), F.concat(F.lit("bucket "), bucket), F.concat(F.lit("frame #"), index.cast("string")), F.concat(F.lit("src: "), source), F.concat(F.lit("tags: "), listed))
+
+
+def gallery_rows(images: DataFrame, records: DataFrame, tags: DataFrame | None = None, rejected: DataFrame | None = None) -> DataFrame:
+    """(path, hover): the images that weren't rejected, each with what is known of it, even if that is nothing.
+
+    records: path, blur, bucket_w, bucket_h, frame_index, video. tags: path, tokens (an array). rejected: path.
+    """
+    shown = images.select("path").join(rejected.select("path"), "path", "left_anti") if rejected is not None else images.select("path")
+    known = shown.join(records.select("path", "blur", F.concat_ws("x", "bucket_w", "bucket_h").alias("bucket"), "frame_index", "video"), "path", "left")
+    with_tags = known.join(tags.select("path", "tokens"), "path", "left") if tags is not None else known.withColumn("tokens", F.lit(None).cast("array<string>"))
+    bucket = F.when(F.col("bucket") != "", F.col("bucket"))
+    return with_tags.select("path", hover_lines(F.col("blur"), bucket, F.col("frame_index"), file_name(F.col("video")), F.col("tokens")).alias("hover"))
+
+
+def console(stats: DataFrame, rows: int = 50) -> None:
+    """Print the numbers of the first videos."""
+    stats.orderBy("video").show(rows, truncate=60)

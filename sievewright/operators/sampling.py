@@ -98,3 +98,31 @@ def probed_size(line: Column) -> Column:
     """Struct (w, h) of a decoder's description of a video stream; zeros where it has no size."""
     side = lambda k: F.coalesce(F.regexp_extract(line, r"(\d{2,5})x(\d{2,5})", k).try_cast("int"), F.lit(0))
     return F.struct(side(1).alias("w"), side(2).alias("h"))
+
+
+def video_meta(frames: DataFrame, video: str = "video", index: str = "frame_index", t: str = "t") -> DataFrame:
+    """(video, fps, frame_count, width, height, duration_s) of decoded frames; fps is 0 where time doesn't pass."""
+    last, first = F.max(F.struct(F.col(index), F.col(t))), F.min(F.struct(F.col(index), F.col(t)))
+    seen = frames.groupBy(video).agg(last.alias("_l"), first.alias("_f"), F.max("width").alias("width"), F.max("height").alias("height"))
+    span = F.col(f"_l.{t}") - F.col(f"_f.{t}")
+    fps = F.when(span > 0, (F.col(f"_l.{index}") - F.col(f"_f.{index}")) / span).otherwise(0.0)
+    out = seen.select(video, fps.alias("fps"), (F.col(f"_l.{index}") + 1).alias("frame_count"), "width", "height")
+    return out.withColumn("duration_s", F.when(F.col("fps") > 0, F.col("frame_count") / F.col("fps")).otherwise(0.0))
+
+
+def at_times(frames: DataFrame, times: DataFrame, video: str = "video", index: str = "frame_index", t: str = "t") -> DataFrame:
+    """(video, t, frame_index): for each wanted time of a video the first frame at or after it; times past the end have none.
+
+    An as-of join without a join of ranges: both sides in one order, each time takes the next frame that follows.
+    """
+    shown = frames.select(video, F.col(t).alias("t"), F.col(index).alias("frame_index"), F.lit(1).alias("_kind"))
+    asked = times.select(video, F.col("t"), F.lit(None).cast(shown.schema["frame_index"].dataType).alias("frame_index"), F.lit(0).alias("_kind")).distinct()
+    order = Window.partitionBy(video).orderBy("t", "_kind", "frame_index").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    following = shown.unionByName(asked).withColumn("frame_index", F.first("frame_index", ignorenulls=True).over(order))
+    return following.where("_kind = 0 and frame_index is not null").select(video, "t", "frame_index")
+
+
+def synthetic_times(frames: DataFrame, step: float = 2.0, video: str = "video", index: str = "frame_index") -> DataFrame:
+    """With `t` made up as place times step, for decoders that give key frames without their times."""
+    order = Window.partitionBy(video).orderBy(index)
+    return frames.withColumn("t", (F.row_number().over(order) - 1) * F.lit(step))

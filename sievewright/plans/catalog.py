@@ -181,6 +181,32 @@ def probe_resolution(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", sampling.probed_size(line).alias("s")).select("p_partkey", "s.w", "s.h")
 
 
+@query(f"""WITH {SQL['frames']}, asked AS (SELECT n_nationkey::BIGINT AS video, 1e5::DOUBLE * i AS t FROM nation, range(40) r(i))
+    SELECT a.video, a.t, f.frame_index FROM asked a ASOF JOIN (SELECT video, t, min(frame_index) AS frame_index FROM frames GROUP BY ALL) f ON a.video = f.video AND a.t <= f.t""")
+def frames_at_times(spark, sf_dir):
+    asked = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("video"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: i * F.lit(1e5))).alias("t"))
+    return sampling.at_times(frames(spark, sf_dir), asked)
+
+
+@query(f"""WITH {SQL['frames']}, m AS (SELECT video, max(frame_index) AS l, arg_max(t, frame_index) - arg_min(t, frame_index) AS span FROM frames GROUP BY video)
+    SELECT video, round(CASE WHEN span > 0 THEN l / span ELSE 0 END * 1e6, 4) AS fps, l + 1 AS frame_count FROM m""")
+def video_meta(spark, sf_dir):
+    f = frames(spark, sf_dir).withColumns({"width": F.lit(16), "height": F.lit(9)})
+    return sampling.video_meta(f).select("video", F.round(F.col("fps") * 1e6, 4).alias("fps"), "frame_count")
+
+
+@query(
+    """WITH i AS (SELECT p_partkey::VARCHAR AS path FROM part WHERE p_partkey % 9 <> 0), r AS (SELECT p_partkey::VARCHAR AS path, p_retailprice AS blur, p_size * 64 AS bw, p_partkey AS f, p_brand AS v FROM part WHERE p_partkey % 2 = 0),
+    t AS (SELECT p_partkey::VARCHAR AS path, p_type AS a, p_name AS b FROM part WHERE p_partkey % 3 = 0)
+    SELECT i.path, concat_ws(chr(10), printf('blur %.1f', round(blur, 1)), 'bucket ' || bw || 'x512', 'frame #' || f, 'src: ' || v, 'tags: ' || a || ', ' || b) AS hover FROM i LEFT JOIN r USING (path) LEFT JOIN t USING (path)"""
+)
+def gallery_rows(spark, sf_dir):
+    p, path = table(spark, sf_dir, "part"), F.col("p_partkey").cast("string").alias("path")
+    records = p.where("p_partkey % 2 = 0").select(path, F.col("p_retailprice").alias("blur"), (F.col("p_size") * 64).alias("bucket_w"), F.lit(512).alias("bucket_h"), F.col("p_partkey").alias("frame_index"), F.col("p_brand").alias("video"))
+    tags = p.where("p_partkey % 3 = 0").select(path, F.array("p_type", "p_name").alias("tokens"))
+    return reports.gallery_rows(p.select(path), records, tags, p.where("p_partkey % 9 = 0").select(path))
+
+
 # --- buckets and geometry -----------------------------------------------------------------------------
 
 _GRID = "grid AS (SELECT w.r AS bucket_w, h.r AS bucket_h FROM range(512, 2049, 64) w(r), range(512, 2049, 64) h(r) WHERE w.r * h.r <= 1024 * 1024)"

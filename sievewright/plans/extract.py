@@ -23,13 +23,30 @@ def _image(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
     return a[..., :3] if channels >= 3 else np.repeat(a, 3, 2)
 
 
-def measured(frames: DataFrame, config: Config) -> DataFrame:
-    """Every measure of every frame in one pass; pixels go no further than this. A frame that can't be measured has an error."""
+def _around(rect: tuple[int, int, int, int], boxes: list[dict]) -> tuple[int, int, int, int]:
+    """geometry.crop_around() of one image, for the pass over pixels."""
+    x, y, w, h = rect
+    x1, y1 = x + w, y + h
+    for b in boxes:
+        cx, cy = b["x"] + b["w"] / 2, b["y"] + b["h"] / 2
+        if w * 0.2 <= cx <= w - w * 0.2 and h * 0.2 <= cy <= h - h * 0.2:
+            continue
+        y, y1 = (max(y, b["y"] + b["h"] + 2), y1) if b["y"] < h * 0.5 else (y, min(y1, b["y"] - 2))
+        x, x1 = (max(x, b["x"] + b["w"] + 2), x1) if b["x"] < w * 0.5 else (x, min(x1, b["x"] - 2))
+    return x, y, max(1, x1 - x), max(1, y1 - y)
+
+
+def measured(frames: DataFrame, config: Config, watermarks: DataFrame | None = None) -> DataFrame:
+    """Every measure of every frame in one pass; pixels go no further than this. A frame that can't be measured has an error.
+
+    With watermarks (video, watermarks) and the setting `crop_watermark`, crops leave the overlays out.
+    """
     names = [c.split()[0] for c in MEASURES.split(", ")]
     schema = pa.schema([(n, k) for n, k in zip(names, [pa.string(), pa.int64(), pa.float64(), *[pa.int32()] * 4, *[pa.float64()] * 5, *[pa.list_(pa.float32())] * 2, pa.int64(), pa.string()], strict=True)])
 
-    def one(image: np.ndarray) -> dict:
-        x, y, w, h = kernels.letterbox(image, config.letterbox_threshold, config.letterbox_min_ratio) if config.detect_letterbox else (0, 0, image.shape[1], image.shape[0])
+    def one(image: np.ndarray, boxes: list[dict]) -> dict:
+        rect = kernels.letterbox(image, config.letterbox_threshold, config.letterbox_min_ratio) if config.detect_letterbox else (0, 0, image.shape[1], image.shape[0])
+        x, y, w, h = _around(rect, boxes)
         part = image[y : y + h, x : x + w]
         grey = kernels.grey(part)
         luma, contrast = kernels.luma_stats(grey)
@@ -48,13 +65,16 @@ def measured(frames: DataFrame, config: Config) -> DataFrame:
                 for r in batch.slice(k, 8).to_pylist():
                     row = dict.fromkeys(names) | {n: r[n] for n in ("video", "frame_index", "t")}
                     try:
-                        row |= one(_image(r["data"], r["height"], r["width"], r["channels"]))
+                        row |= one(_image(r["data"], r["height"], r["width"], r["channels"]), r.get("watermarks") or [])
                     except (ValueError, TypeError, IndexError) as e:
                         row["error"] = f"{type(e).__name__}: {e}"
                     rows.append(row)
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return frames.select("video", "frame_index", "t", "height", "width", "channels", "data").mapInArrow(run, MEASURES)
+    picked = frames.select("video", "frame_index", "t", "height", "width", "channels", "data")
+    if watermarks is not None and config.crop_watermark:
+        picked = picked.join(watermarks.select("video", "watermarks"), "video", "left")
+    return picked.mapInArrow(run, MEASURES)
 
 
 def _reasons(rows: DataFrame, config: Config) -> DataFrame:
@@ -81,7 +101,7 @@ class Curated:
     stats: DataFrame
 
 
-def curated(measures: DataFrame, config: Config, index: DataFrame | None = None) -> Curated:
+def curated(measures: DataFrame, config: Config, index: DataFrame | None = None, watermarks: DataFrame | None = None) -> Curated:
     """Decide for every measured frame.
 
     Gates come first, then, video by video and in order, diversity against the last accepted frames, then
@@ -131,6 +151,8 @@ def curated(measures: DataFrame, config: Config, index: DataFrame | None = None)
         count("blur").alias("rejected_blur"), count("luma").alias("rejected_luma"), count("too small").alias("rejected_too_small"), count("completeness").alias("rejected_completeness"),
         count("ssim").alias("rejected_ssim"), count("color").alias("rejected_color"), count("dup").alias("rejected_dup"), count("max").alias("rejected_max"), count("error").alias("errors"),
     )
+    if watermarks is not None:
+        stats = stats.join(watermarks, "video", "left")
     places = stats.select("video").withColumn("_place", F.dense_rank().over(_by_video()) - 1)  # videos are few next to frames
     numbered = selection.sequence_numbers(decisions.where("kept").join(places, "video"), "_place").drop("_place", "kept", "reason", "error")
     stem = text.sanitize_stem(text.file_stem(F.col("video")))

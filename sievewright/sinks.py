@@ -62,6 +62,28 @@ def save_files(files: DataFrame, root: str, path: str = "path", content: str = "
     return picked.mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
+def move_files(moves: DataFrame, root: str, path: str = "path", target: str = "target") -> int:
+    """Move files (relative path, relative target) below a root; returns how many. A move that was made before is no error."""
+
+    def run(rows: Iterator) -> Iterator:
+        import pandas as pd
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        for part in rows:
+            n = 0
+            for p, t in zip(part["path"], part["target"], strict=True):
+                there = store.get_file_info([f"{base}/{p}"])[0].type != fs.FileType.NotFound
+                store.create_dir(f"{base}/{t}".rpartition("/")[0], recursive=True)
+                if there:
+                    store.move(f"{base}/{p}", f"{base}/{t}")
+                n += there or store.get_file_info([f"{base}/{t}"])[0].type != fs.FileType.NotFound
+            yield pd.DataFrame({"n": [n]})
+
+    picked = moves.select(F.col(path).alias("path"), F.col(target).alias("target"))
+    return picked.mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def sidecars(captions: DataFrame, image: str = "image", caption: str = "caption") -> DataFrame:
     """(path, content): a caption beside its image, one line of UTF-8."""
     path = F.concat(F.regexp_replace(image, r"\.[^./]*$", ""), F.lit(".txt"))

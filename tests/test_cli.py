@@ -33,6 +33,17 @@ def test_extract(spark, capsys, tmp_path):
     assert json.loads((tmp_path / "out/clip.mp4/_stats.json").read_text())["written"] == 4
 
 
+def test_rejects_move(spark, tmp_path, capsys):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.png").write_bytes(sinks.png(frames_for_tests.image("x", 0)))
+    (tmp_path / "in/a.txt").write_text("old")
+    (tmp_path / "tags.csv").write_text("id,name,category\n0,1girl,0\n1,long_hair,0\n2,miku,4\n")
+    cli.main(["tag", "--model", "test_cli:make_model", "--vocabulary", str(tmp_path / "tags.csv"), "--exclude", "miku", str(tmp_path / "in")])
+    got = json.loads(capsys.readouterr().out)
+    assert (got["total"], got["tagged"], got["rejected"], got["failed"]) == (1, 0, 1, 0)
+    assert (tmp_path / "in/_rejected/a.png").exists() and (tmp_path / "in/_rejected/a.txt").read_text() == "old" and not (tmp_path / "in/a.png").exists()
+
+
 def test_tag(spark, capsys, tmp_path):
     (tmp_path / "in/sub").mkdir(parents=True)
     for k, name in enumerate(("a.png", "sub/b.png")):

@@ -8,7 +8,7 @@ import frames_for_tests
 from sievewright import sinks
 from sievewright.config import Config
 from sievewright.functions import kernels
-from sievewright.operators import inference, tagging
+from sievewright.operators import geometry, inference, overlays, tagging
 from sievewright.plans import extract
 from sievewright.sources import files
 from sievewright.sources.video import FrameSource
@@ -161,3 +161,49 @@ def test_sheet_gallery_and_encoders():
     with pytest.raises(ValueError):
         sinks.encoder("webp")
     assert sinks.encoder("webp", {"webp": sinks.png}) is sinks.png and kernels.grey(a).shape == (50, 100)
+
+
+def overlaid(spark, boxed=True):
+    rows = []
+    rng = np.random.default_rng(3)
+    text = np.zeros((6, 40), np.uint8)
+    text[:, ::8] = text[0] = 255
+    for i in range(16):
+        frame = rng.integers(60, 180, (240, 426)).astype(np.uint8)
+        frame[100:160, 20 + 20 * i : 70 + 20 * i] = 220
+        if boxed:
+            frame[8:14, 360:400] = text
+        image = np.repeat(frame[..., None], 3, 2)
+        rows.append(("logo.mp4" if boxed else "plain.mp4", i, float(i), 240, 426, 3, image.tobytes()))
+    return spark.createDataFrame(rows, "video string, frame_index long, t double, height int, width int, channels int, data binary")
+
+
+def test_overlays_are_found_and_cropped(spark):
+    both = overlaid(spark).unionByName(overlaid(spark, False))
+    found = overlays.detected(both, min_confidence=0.2)
+    got = {r.video: r.watermarks for r in found.collect()}
+    assert got["plain.mp4"] == [] and got["logo.mp4"][0].location == "top-right"
+    assert {r.video: r.watermarks for r in overlays.detected(both.where("frame_index < 4")).collect()} == {"plain.mp4": [], "logo.mp4": []}
+    config = Config.layered(SETTINGS, {"crop_watermark": True, "detect_letterbox": False, "min_bucket": 64, "max_bucket": 256})
+    rects = {r.video: (r.x, r.y, r.w, r.h) for r in extract.measured(both, config, found).collect()}
+    box = got["logo.mp4"][0]
+    assert rects["plain.mp4"] == (0, 0, 426, 240) and rects["logo.mp4"][1] == box.y + box.h + 2 and rects["logo.mp4"][2] == box.x - 2
+    done = extract.curated(extract.measured(both, config, found), config, watermarks=found)
+    assert "top-right" in sinks.report_html(done.stats, done.records)
+    assert extract._around((0, 0, 100, 100), [{"x": 45, "y": 45, "w": 10, "h": 10}]) == (0, 0, 100, 100)
+
+
+def test_python_and_column_crops_agree(spark):
+    rng = np.random.default_rng(1)
+    rows = [([tuple(int(v) for v in (rng.integers(0, 900), rng.integers(0, 900), rng.integers(5, 100), rng.integers(5, 100))) for _ in range(rng.integers(0, 4))],) for _ in range(60)]
+    zero, side = F.lit(0).cast("long"), F.lit(1000).cast("long")
+    frame = spark.createDataFrame(rows, "o array<struct<x:bigint,y:bigint,w:bigint,h:bigint>>")
+    got = [tuple(r[0]) for r in frame.select(geometry.crop_around(zero, zero, side, side, F.col("o"))).collect()]
+    assert got == [extract._around((0, 0, 1000, 1000), [dict(zip("xywh", b, strict=True)) for b in o]) for (o,) in rows]
+
+
+def test_moving_files(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(b"1")
+    moves = spark.createDataFrame([("a.png", "_rejected/a.png"), ("none.png", "_rejected/none.png")], "path string, target string")
+    assert sinks.move_files(moves, str(tmp_path)) == 1 == sinks.move_files(moves, str(tmp_path))
+    assert (tmp_path / "_rejected/a.png").exists() and not (tmp_path / "a.png").exists()
