@@ -199,3 +199,33 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str
 
     picked = docs.select(*column_names(docs, doc_id=id_col, text=text_col)).withColumn("doc_id", F.col("doc_id").cast("long"))
     return picked.mapInArrow(run, "doc_id long, n_tokens long, loss_target double, loss_background double, difference double")
+
+
+def _sql(share: float = SHARE, prior: float = PRIOR, least: int = LEAST) -> str:
+    """DuckDB SQL for score() of `documents` against those of quality 1, losses rounded to six places."""
+    model = """{name}_one AS (SELECT tok, sum({flag})::BIGINT AS n FROM pairs GROUP BY tok), {name}_all AS (SELECT sum({flag}) AS total FROM pairs),
+{name}_two AS (SELECT prev, tok, sum({flag})::BIGINT AS c FROM pairs GROUP BY ALL HAVING sum({flag}) >= greatest({least}, (SELECT total * {share}::DOUBLE FROM {name}_all))),
+{name}_held AS (SELECT prev, sum(c) AS held FROM {name}_two GROUP BY prev)"""
+    loss = """-ln((coalesce({name}_two.c, 0) + {prior}::DOUBLE * ({name}_one.n + 1) / ({name}_all.total + v.size)) / (coalesce({name}_held.held, 0) + {prior}::DOUBLE))"""
+    joins = "JOIN {name}_one USING (tok) CROSS JOIN {name}_all LEFT JOIN {name}_two USING (prev, tok) LEFT JOIN {name}_held USING (prev)"
+    fill = lambda text, name, flag="": text.format(name=name, flag=flag, share=share, prior=prior, least=least)
+    return rf"""
+WITH words AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM (
+    SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents)
+), vocabulary AS (
+  SELECT word FROM words GROUP BY word HAVING count(*) >= greatest({least}, (SELECT count(*) * {share}::DOUBLE FROM words))
+), v AS (SELECT count(*) + 1 AS size FROM vocabulary), good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
+tokens AS (SELECT doc_id, i, CASE WHEN vocabulary.word IS NULL THEN '' ELSE words.word END AS tok FROM words LEFT JOIN vocabulary USING (word)),
+pairs AS (
+  SELECT t.doc_id, tok, coalesce(lag(tok) OVER (PARTITION BY t.doc_id ORDER BY i), chr(9)) AS prev, (good.doc_id IS NOT NULL)::INT AS target
+  FROM tokens t LEFT JOIN good USING (doc_id)
+), {fill(model, "t", "target")}, {fill(model, "b", "1")},
+losses AS (SELECT doc_id, {fill(loss, "t")} AS a, {fill(loss, "b")} AS b FROM pairs CROSS JOIN v {fill(joins, "t")} {fill(joins, "b")}),
+means AS (SELECT doc_id, count(*) AS n, avg(a) AS a, avg(b) AS b FROM losses GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_tokens, round(coalesce(a, 0), 6) AS loss_target, round(coalesce(b, 0), 6) AS loss_background, round(coalesce(a - b, 0), 6) AS difference
+FROM documents LEFT JOIN means USING (doc_id)
+"""
+
+
+SQL = _sql()

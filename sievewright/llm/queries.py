@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, cross_entropy, decontaminate, pii, preferences, simhash, sketch, substring, toxicity, wordpiece
 from .common import table
@@ -42,7 +43,8 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     good = table(spark, sf_dir, "labels").where("quality = 1")
-    return cross_entropy.score(docs, cross_entropy.train(docs, good))
+    out = cross_entropy.score(docs, cross_entropy.train(docs, good))
+    return out.withColumns({c: F.round(c, 6) for c in ("loss_target", "loss_background", "difference")})
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +74,4 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (op1_preferences, op2_substring, op3_fingerprints, op4_cross_entropy, op5_toxicity, op6_bpe, op7_token_counts, op8_pii, op9_simhash, op10_decontamination)
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES: dict[str, str] = {"op1_preferences": preferences.SQL}
+ORACLES: dict[str, str] = {"op1_preferences": preferences.SQL, "op2_substring": substring.SQL, "op4_cross_entropy": cross_entropy.SQL}

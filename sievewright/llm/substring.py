@@ -259,3 +259,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts, spans = repeated_spans(docs, id_col, text_col, length, gram, heavy)
     joined = texts.join(spans, ["doc_id", "text_hash"], "left").select("doc_id", "text", "spans", F.coalesce("copy", F.lit(False)).alias("copy"))
     return joined.mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+
+
+#: DuckDB SQL for remove_repeats() of `documents` without the kept text, by comparing all windows.
+SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), k AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)
+), hit AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS least FROM k) WHERE doc_id > least
+), marked AS (
+  SELECT p.doc_id, j, word, max(hit.i) OVER (PARTITION BY p.doc_id ORDER BY j ROWS UNBOUNDED PRECEDING) >= j - 49 AS gone
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d) p LEFT JOIN hit ON hit.doc_id = p.doc_id AND hit.i = j
+), s AS (
+  SELECT doc_id, count(*) FILTER (coalesce(gone, FALSE)) AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (NOT coalesce(gone, FALSE)) AS kept FROM marked GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN s USING (doc_id)
+"""
