@@ -143,7 +143,7 @@ class ByteBPE:
 
     def encode_texts(self, texts: Iterable[str | None]) -> list[list[int]]:
         split = regex.compile(self.pattern).findall
-        memo = kept(("bpe", self.name), lambda: Memo(self.encode_pieces, most=400_000))
+        memo = kept(("bpe", self.name), lambda: Memo(self.encode_pieces, most=300_000))
         out = []
         for text in texts:
             pieces = split(text) if text else []
@@ -166,7 +166,7 @@ def encode(docs: DataFrame, model: ByteBPE, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = model.decoder().__getitem__
-        for ids, texts in columns(batches, "doc_id", "text"):
+        for ids, texts in columns(batches, "doc_id", "text", remembers=True):
             codes = model.encode_texts(texts)
             ends = np.cumsum([0, *map(len, codes)])
             flat = pa.array(np.fromiter(chain.from_iterable(codes), np.int32, ends[-1]))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.storage import checkpointed, written
+from .memo import forget
 
 __all__ = ["apart", "checkpointed", "column_names", "columns", "table", "words_of", "written"]
 
@@ -17,8 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def columns(batches: Iterator[pa.RecordBatch], *names: str, at_once: int = 256) -> Iterator[list[list]]:
-    """The named columns as Python lists, a few rows at a time, so that few texts are in memory twice."""
+def columns(batches: Iterator[pa.RecordBatch], *names: str, at_once: int = 256, remembers: bool = False) -> Iterator[list[list]]:
+    """The named columns as Python lists, a few rows at a time, so that few texts are in memory twice.
+
+    Work that doesn't remember anything begins by dropping what the worker remembers from other work.
+    """
+    if not remembers:
+        forget()
     for batch in batches:
         for start in range(0, batch.num_rows, at_once):
             part = batch.slice(start, at_once)

@@ -33,8 +33,13 @@ class Memo:
 
 
 def kept(name: Hashable, make: Callable[[], Memo]) -> Memo:
-    """This worker's memory under `name`; another name's is dropped, so that there is one for each kind of work."""
-    kind = name[0]
-    if _KEPT.get(kind, (None,))[0] != name:
-        _KEPT[kind] = (name, make())
-    return _KEPT[kind][1]
+    """This worker's memory under `name`; that of any other work is dropped, so that a worker never holds two."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def forget() -> None:
+    """Drop what the worker remembers, for work that remembers nothing itself."""
+    _KEPT.clear()

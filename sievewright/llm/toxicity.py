@@ -38,8 +38,9 @@ SEPARATORS = set(" .-_*'’/~")
 #: Costs of the channel, in nats.
 SUBSTITUTE, AS_SIGN, SKIP, SHORTEN = 0.7, 6.0, 0.3, 1.5
 LETTERS, OTHER, EDGE, KINDS = 26, 26, 27, 28
-#: Bound of the labelled sample, and the fewest toxic documents that a part of a word must be in.
-SAMPLE, SUPPORT, Z = {1: 2000, 0: 4000}, 3, 3.0
+#: Bound of the labelled sample; fewest toxic documents that a word or part must be in; width of the confidence
+#: bound; bounds from which on a word is marked by itself, and a part is strong.
+SAMPLE, SUPPORT, Z, MARKED, STRONG = {1: 2000, 0: 4000}, 3, 3.0, 1.5, 2.5
 
 _WORD = re.compile(r"[^\W\d_]+")
 _TRIPLE = re.compile(r"(.)\1\1")
@@ -155,8 +156,8 @@ class Restorer:
 
 
 def parts(word: str) -> set[str]:
-    """What a word is scored by: itself, and its beginnings and ends."""
-    return {f"={word}", *(f"<{word[:k]}" for k in (4, 5, 6) if len(word) >= k), *(f">{word[-k:]}" for k in (4, 5, 6) if len(word) >= k)}
+    """What a word is scored by besides itself: its beginnings and ends."""
+    return {*(f"<{word[:k]}" for k in (4, 5, 6) if len(word) >= k), *(f">{word[-k:]}" for k in (4, 5, 6) if len(word) >= k)}
 
 
 @dataclass
@@ -171,7 +172,7 @@ class Model:
 
     def word_score(self, word: str) -> float:
         get = self.weights.get
-        return max(get(p, 0.0) for p in parts(word))
+        return max(get(p, 0.0) for p in (f"={word}", *parts(word)))
 
     def scorer(self) -> _Scorer:
         restorer = Restorer(self.costs)
@@ -205,25 +206,41 @@ def document_features(scores: list[float]) -> list[float]:
 
 
 def log_odds(docs: list[set[str]], labels: np.ndarray) -> dict[str, float]:
-    """Positive lower confidence bounds of the log odds of parts that are in SUPPORT toxic documents at least."""
+    """Positive lower confidence bounds of the log odds of words and parts that are in SUPPORT toxic documents at least.
+
+    What is explained is no further evidence: words that are MARKED by themselves count for none of their parts,
+    and words with a part that is STRONG count for none of the others.
+    """
     n1, n0 = int(labels.sum()), int((1 - labels).sum())
-    toxic: Counter = Counter()
-    for words, y in zip(docs, labels, strict=True):
-        if y:
-            toxic.update({p for w in words for p in parts(w)})
-    toxic = Counter({p: k for p, k in toxic.items() if k >= SUPPORT})
-    clean: Counter = Counter()
-    for words, y in zip(docs, labels, strict=True):
-        if not y:
-            clean.update({p for w in words for p in parts(w) if p in toxic})
-    out = {}
-    for p, k1 in toxic.items():
-        k0 = clean[p]
-        cells = (k1 + 0.5, n1 - k1 + 0.5, k0 + 0.5, n0 - k0 + 0.5)
-        bound = math.log(cells[0] / cells[1]) - math.log(cells[2] / cells[3]) - Z * math.sqrt(sum(1 / c for c in cells))
-        if bound > 0:
-            out[p] = bound
-    return out
+
+    def bounds(features) -> dict[str, float]:
+        toxic: Counter = Counter()
+        for words, y in zip(docs, labels, strict=True):
+            if y:
+                toxic.update(features(words))
+        toxic = Counter({p: k for p, k in toxic.items() if k >= SUPPORT})
+        clean: Counter = Counter()
+        for words, y in zip(docs, labels, strict=True):
+            if not y:
+                clean.update(p for p in features(words) if p in toxic)
+        out = {}
+        for p, k1 in toxic.items():
+            k0 = clean[p]
+            cells = (k1 + 0.5, n1 - k1 + 0.5, k0 + 0.5, n0 - k0 + 0.5)
+            bound = math.log(cells[0] / cells[1]) - math.log(cells[2] / cells[3]) - Z * math.sqrt(sum(1 / c for c in cells))
+            if bound > 0:
+                out[p] = bound
+        return out
+
+    own = bounds(lambda words: [f"={w}" for w in words])
+    marked = {w[1:] for w, b in own.items() if b >= MARKED}
+    strong = {p: b for p, b in bounds(lambda words: {p for w in words if w not in marked for p in parts(w)}).items() if b >= STRONG}
+
+    def others(words: set[str]) -> set[str]:
+        open_ = (parts(w) for w in words if w not in marked)
+        return {p for own_ in open_ if strong.keys().isdisjoint(own_) for p in own_}
+
+    return own | strong | bounds(others)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 50) -> np.ndarray:
@@ -305,7 +322,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer()
-        for ids, texts in columns(batches, "doc_id", "text"):
+        for ids, texts in columns(batches, "doc_id", "text", remembers=True):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(list(map(scorer.score, texts)), pa.float64())], ["doc_id", "score"])
 
     picked = docs.select(*column_names(docs, doc_id=id_col, text=text_col)).withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -323,7 +340,7 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
         scorer = model.scorer()
         for batch in batches:
             keep: list[bool] = []
-            for (texts,) in columns(iter([batch]), text_col):
+            for (texts,) in columns(iter([batch]), text_col, remembers=True):
                 keep += [scorer.score(t) < 0.5 for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
 

@@ -96,7 +96,7 @@ def token_counts(docs: DataFrame, model: LongestMatch, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = kept(("wordpiece", model.name), lambda: Memo(lambda words: list(map(model.count, words))))
         kinds = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_unknown": pa.int64(), "n_tokens": pa.int64()}
-        for ids, texts in columns(batches, "doc_id", "text"):
+        for ids, texts in columns(batches, "doc_id", "text", remembers=True):
             rows = []
             for doc, text in zip(ids, texts, strict=True):
                 words = words_of(text)
