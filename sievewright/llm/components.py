@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from .common import apart, checkpointed
 
+#: Rows of a checkpoint's file, about.
+PER_FILE = 100_000
+
 
 def connected(edges: DataFrame) -> DataFrame:
     """(a long, b long) -> (node long, root long), a row for each node that has an edge to another.
@@ -23,17 +26,18 @@ def connected(edges: DataFrame) -> DataFrame:
     """
     edges = checkpointed(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     steps: list[DataFrame] = []
-    while not edges.isEmpty():
+    while n := edges.count():
+        few = n // PER_FILE + 1  # what follows has no more rows than that: small tables needn't have a file for each partition
         turn = F.lit(len(steps))
         ordered = lambda c: F.struct(F.xxhash64(c, turn).alias("p"), F.col(c).alias("n"))  # noqa: E731, B023
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         best = both.groupBy("a").agg(F.min(ordered("b")).alias("m"))
-        step = checkpointed(best.select(F.col("a").alias("node"), F.least(ordered("a"), F.col("m")).getField("n").alias("root")))
-        steps.append(step)
+        step = best.select(F.col("a").alias("node"), F.least(ordered("a"), F.col("m")).getField("n").alias("root"))
+        steps.append(step := checkpointed(step.coalesce(few)))
         left = step.select(apart("node").alias("a"), F.col("root").alias("ra"))
         right = step.select(apart("node").alias("b"), F.col("root").alias("rb"))
         moved = edges.join(left, "a").join(right, "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-        edges = checkpointed(moved.where("a <> b").distinct())
+        edges = checkpointed(moved.where("a <> b").distinct().coalesce(few))
     if not steps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     found = steps[-1]

@@ -205,43 +205,78 @@ def document_features(scores: list[float]) -> list[float]:
     return [first, second, 0.0 if second else first]
 
 
-def log_odds(docs: list[set[str]], labels: np.ndarray) -> dict[str, float]:
-    """Positive lower confidence bounds of the log odds of words and parts that are in SUPPORT toxic documents at least.
-
-    What is explained is no further evidence: words that are MARKED by themselves count for none of their parts,
-    and words with a part that is STRONG count for none of the others.
-    """
-    n1, n0 = int(labels.sum()), int((1 - labels).sum())
-
-    def bounds(features) -> dict[str, float]:
-        toxic: Counter = Counter()
-        for words, y in zip(docs, labels, strict=True):
-            if y:
-                toxic.update(features(words))
-        toxic = Counter({p: k for p, k in toxic.items() if k >= SUPPORT})
-        clean: Counter = Counter()
-        for words, y in zip(docs, labels, strict=True):
-            if not y:
-                clean.update(p for p in features(words) if p in toxic)
-        out = {}
-        for p, k1 in toxic.items():
-            k0 = clean[p]
-            cells = (k1 + 0.5, n1 - k1 + 0.5, k0 + 0.5, n0 - k0 + 0.5)
-            bound = math.log(cells[0] / cells[1]) - math.log(cells[2] / cells[3]) - Z * math.sqrt(sum(1 / c for c in cells))
-            if bound > 0:
-                out[p] = bound
+class Evidence:
+    """Which words and which of their parts are in which documents of a labelled sample, as arrays."""
+
+    def __init__(self, docs: list[tuple[str, ...]], labels: np.ndarray):
+        number: dict[str, int] = {}
+        self.labels = labels.astype(bool)
+        self.word = np.fromiter((number.setdefault(w, len(number)) for d in docs for w in d), np.int64)
+        self.doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+        self.words = list(number)
+        toxic = np.bincount(self.word[self.labels[self.doc]], minlength=len(self.words))
+        seen: Counter = Counter()
+        for w in np.flatnonzero(toxic):
+            for p in parts(self.words[w]):
+                seen[p] += int(toxic[w])
+        self.parts = [p for p, n in seen.items() if n >= SUPPORT]  # no other part can have the support
+        known = {p: i for i, p in enumerate(self.parts)}
+        del seen
+        own = [[known[p] for p in parts(w) if p in known] for w in self.words]
+        self.part_from = np.cumsum([0, *map(len, own)])
+        self.part = np.fromiter((p for o in own for p in o), np.int64)
+
+    def parts_of(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the words, part) for each part of each word."""
+        n = self.part_from[word + 1] - self.part_from[word]
+        which = np.repeat(np.arange(len(word)), n)
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.part_from[word], n)
+        return which, self.part[at]
+
+    def bounds(self, doc: np.ndarray, item: np.ndarray, size: int, use: np.ndarray) -> np.ndarray:
+        """Lower confidence bounds of the log odds of items over the documents in use; 0 where they are none or without support."""
+        n1, n0 = int((use & self.labels).sum()), int((use & ~self.labels).sum())
+        pairs = np.sort(doc * size + item)
+        pairs = pairs[np.concatenate(([True], pairs[1:] != pairs[:-1]))[: len(pairs)]]
+        doc, item = np.divmod(pairs, size)
+        k1 = np.bincount(item[self.labels[doc]], minlength=size)
+        k0 = np.bincount(item[~self.labels[doc]], minlength=size)
+        cells = [k1 + 0.5, n1 - k1 + 0.5, k0 + 0.5, n0 - k0 + 0.5]
+        bound = np.log(cells[0] / cells[1]) - np.log(cells[2] / cells[3]) - Z * np.sqrt(sum(1 / c for c in cells))
+        return np.where(k1 >= SUPPORT, np.maximum(bound, 0), 0)
+
+    def log_odds(self, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds, 0 for none, of words and of parts, over the documents in use.
+
+        What is explained is no further evidence: words that are MARKED by themselves count for none of their parts,
+        and words with a part that is STRONG count for none of the others.
+        """
+        here = use[self.doc]
+        doc, word = self.doc[here], self.word[here]
+        own = self.bounds(doc, word, len(self.words), use)
+        open_ = own[word] < MARKED
+        doc, word = doc[open_], word[open_]
+        which, part = self.parts_of(word)
+        strong = self.bounds(doc[which], part, max(1, len(self.parts)), use)
+        strong[strong < STRONG] = 0
+        explained = np.zeros(len(word), bool)
+        explained[which[strong[part] > 0]] = True
+        rest = ~explained[which]
+        weak = self.bounds(doc[which][rest], part[rest], max(1, len(self.parts)), use)
+        return own, np.maximum(strong, weak)
+
+    def named(self, own: np.ndarray, part: np.ndarray) -> dict[str, float]:
+        """The bounds that there are, by '=word' and by part."""
+        out = {f"={self.words[w]}": float(own[w]) for w in np.flatnonzero(own)}
+        return out | {self.parts[p]: float(part[p]) for p in np.flatnonzero(part)}
+
+    def word_scores(self, own: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """The largest bound of each word and its parts."""
+        out = own.copy()
+        which, p = self.parts_of(np.arange(len(self.words)))
+        np.maximum.at(out, which, part[p])
         return out
 
-    own = bounds(lambda words: [f"={w}" for w in words])
-    marked = {w[1:] for w, b in own.items() if b >= MARKED}
-    strong = {p: b for p, b in bounds(lambda words: {p for w in words if w not in marked for p in parts(w)}).items() if b >= STRONG}
-
-    def others(words: set[str]) -> set[str]:
-        open_ = (parts(w) for w in words if w not in marked)
-        return {p for own_ in open_ if strong.keys().isdisjoint(own_) for p in own_}
-
-    return own | strong | bounds(others)
-
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 50) -> np.ndarray:
     """Intercept and weights by Newton's method; the intercept isn't penalised."""
@@ -270,14 +305,17 @@ def fit(texts: list[str], labels: list[int], costs: np.ndarray) -> Model:
         low = text.lower()
         tokens = set(low.split())
         known = memo.known(tokens)
-        docs.append({w for t in tokens for w in known[t]} | set(restorer.spaced(low)))
+        docs.append(tuple({w for t in tokens for w in known[t]} | set(restorer.spaced(low))))
+    evidence = Evidence(docs, y)
     fold = np.array([xxhash.xxh64_intdigest(t.encode()) % 2 for t in texts])
     x = np.zeros((len(docs), 3))
+    ends = np.cumsum([0, *map(len, docs)])
     for half in (0, 1):
-        model = Model(costs, log_odds([d for d, f in zip(docs, fold, strict=True) if f != half], y[fold != half]))
+        scores = evidence.word_scores(*evidence.log_odds(fold != half))[evidence.word]
         for i in np.flatnonzero(fold == half):
-            x[i] = document_features(list(map(model.word_score, docs[i])))
-    return Model(costs, log_odds(docs, y), tuple(fit_logistic(x, y).tolist()))
+            x[i] = document_features(scores[ends[i] : ends[i + 1]].tolist())
+    weights = evidence.named(*evidence.log_odds(np.ones(len(docs), bool)))
+    return Model(costs, weights, tuple(fit_logistic(x, y).tolist()))
 
 
 def is_held_out(doc_id: Column) -> Column:

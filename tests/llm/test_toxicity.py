@@ -1,6 +1,7 @@
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -117,3 +118,47 @@ def test_logistic_regression():
     y = (rng.random(4000) < 1 / (1 + np.exp(-(x @ [2, -1] + 0.5)))).astype(float)
     assert np.allclose(T.fit_logistic(x, y), [0.5, 2, -1], atol=0.2)
     assert math.isfinite(T.fit_logistic(x, (x[:, 0] > 0).astype(float))[1])
+
+
+def slow_log_odds(docs, labels):
+    """The bounds with sets and counters."""
+    n1, n0 = sum(labels), len(labels) - sum(labels)
+
+    def bounds(features):
+        k = [Counter(), Counter()]
+        for d, y in zip(docs, labels, strict=True):
+            k[int(y)].update(set(features(d)))
+        out = {}
+        for p, k1 in k[1].items():
+            cells = (k1 + 0.5, n1 - k1 + 0.5, k[0][p] + 0.5, n0 - k[0][p] + 0.5)
+            bound = math.log(cells[0] / cells[1]) - math.log(cells[2] / cells[3]) - T.Z * math.sqrt(sum(1 / c for c in cells))
+            if k1 >= T.SUPPORT and bound > 0:
+                out[p] = bound
+        return out
+
+    own = bounds(lambda d: [f"={w}" for w in d])
+    left = [[w for w in d if own.get(f"={w}", 0) < T.MARKED] for d in docs]
+    docs = left
+    strong = {p: b for p, b in bounds(lambda d: [p for w in d for p in T.parts(w)]).items() if b >= T.STRONG}
+    weak = bounds(lambda d: [p for w in d if strong.keys().isdisjoint(T.parts(w)) for p in T.parts(w)])
+    return own | weak | strong
+
+
+def test_bounds_equal_brute_force():
+    rng = random.Random(5)
+    stems, ends = ["house", "stone", "losen", "veque", "vequa", "grtti"], ["", "ing", "ment", "aire", "uaire", "x"]
+    docs, labels = [], []
+    for _ in range(300):
+        y = rng.random() < 0.4
+        words = {rng.choice(stems[:3]) + rng.choice(ends) for _ in range(8)} | ({rng.choice(stems[3:5]) + rng.choice(ends), "idiot"} if y else set())
+        docs.append(tuple(sorted(words)))
+        labels.append(float(y))
+    evidence = T.Evidence(docs, np.array(labels))
+    for use in (np.ones(300, bool), np.arange(300) % 3 > 0):
+        own, part = evidence.log_odds(use)
+        want = slow_log_odds([d for d, u in zip(docs, use, strict=True) if u], [y for y, u in zip(labels, use, strict=True) if u])
+        got = evidence.named(own, part)
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
+        assert any(k[0] == "<" for k in got) and any(k[0] == "=" for k in got)
+        model = T.Model(np.zeros((T.KINDS,) * 3), got)
+        assert evidence.word_scores(own, part) == pytest.approx([model.word_score(w) for w in evidence.words])
