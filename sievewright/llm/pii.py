@@ -3,7 +3,7 @@
 The patterns find e-mail and IP addresses, card and phone numbers as usually written. The random field
 reads words by their shapes (letters, digits, signs) and their neighbours', is trained on a small
 labelled table, and is decoded by Viterbi in numpy over many sequences at a time. It adds spans that the
-patterns miss, such as 'ann [at] mail [dot] org', '(555) 123-4567' or '10[.]0[.]0[.]7'; an added span
+patterns miss, such as 'ann [at] mail [dot] org', '(555) 123-4567' or '4111.1111.1111.1111'; an added span
 must still be plausible (digits, parts, check sum) and overlap none that the patterns found.
 
 Only words near a sign of personal data (a digit, an @, a bracketed or spelled 'at' or 'dot') form sequences; a
