@@ -3,8 +3,9 @@
 The test items, cut into parts of at most 64 words, are the indexed documents; every training passage
 (128 words, a new one every 64) is a query. Scores are divided by each part's threshold, so that one
 bound, 1, holds for all. The threshold is the score that a passage must have if it holds `least` of the
-part's word shingles: the part's own score less what its heaviest words could take away. Retrieval
-therefore loses nothing that verification would confirm.
+part's word shingles: the part's own score less what its heaviest words could take away. Each of an
+item's shingles is in one part, so an item of which `least` is held has a part of which `least` is held.
+Parts only retrieve: what counts is the whole item, its question and its answer, held against the words around the place.
 
 Queries run a batch at a time over arrays. As in WAND, a query's words of least weight that can't reach
 `free` together are left out of the first step; blocks of parts whose block maxima, with the
@@ -62,15 +63,18 @@ class Part:
     item: int
     words: list[bytes]
     split: int  # of the words, those before it belong to the question
+    start: int = 0  # place in the item
+    whole: Part | None = None  # the item, if it has more parts
 
 
 def parts_of(item: int, text: str | None, width: int = WIDTH) -> list[Part]:
-    """Parts of PART words whose shingles together are the item's; no part for an item without words."""
+    """Parts of PART words, each shingle of the item in one of them; no part for an item without words."""
     question, answer = map(normal_words, question_and_answer(text or ""))
     words = question + answer
     step = PART - width + 1
     starts = range(0, max(1, len(words) - width + 1), step) if words else ()
-    return [Part(item, words[s : s + PART], min(max(0, len(question) - s), PART)) for s in starts]
+    whole = Part(item, words, len(question)) if len(starts) > 1 else None
+    return [Part(item, words[s : s + PART], min(max(0, len(question) - s), PART), s, whole) for s in starts]
 
 
 def overlaps(part: Part, passage: list[bytes], width: int = WIDTH) -> tuple[float, float, float]:
@@ -89,6 +93,14 @@ def overlaps(part: Part, passage: list[bytes], width: int = WIDTH) -> tuple[floa
     return share(part.words), share(part.words[: part.split]), share(part.words[part.split :])
 
 
+def around(part: Part, words: list[bytes], at: int) -> tuple[float, float, float]:
+    """overlaps() of the part's whole item with the words that it would cover, and PART more on either side, if the part is in the passage at `at`."""
+    if not part.whole:
+        return overlaps(part, words[at : at + STEP + PART])
+    rest = len(part.whole.words) - part.start
+    return overlaps(part.whole, words[max(0, at - part.start - PART) : at + STEP + PART + rest])
+
+
 def expanded(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(which range, index) for each index of each range start..stop."""
     n = stop - start
@@ -169,8 +181,8 @@ class Index:
         return passage[begin[query]], part, score[good]
 
 
-def matches(texts: list[str | None], index: Index, least: float = LEAST, side: float = SIDE) -> list[dict[int, float]]:
-    """For each text, item -> largest confirmed overlap."""
+def matches(texts: list[str | None], index: Index, least: float = LEAST, side: float = SIDE, whole: bool = False) -> list[dict[int, float]]:
+    """For each text, item -> largest overlap of a part. The sides are the part's; with `whole` they, and another LEAST, are the item's."""
     words = [normal_words(t) for t in texts]
     number = index.number.get
     codes = np.fromiter((number(w, -1) for ws in words for w in ws), np.int64)
@@ -189,7 +201,10 @@ def matches(texts: list[str | None], index: Index, least: float = LEAST, side: f
     for doc, p, part in zip(owner.tolist(), (found[0] - first[owner]).tolist(), found[1].tolist(), strict=True):
         entry = index.parts[part]
         shares = overlaps(entry, words[doc][p * STEP : p * STEP + STEP + PART])
-        if shares[0] >= least and min(shares[1:]) >= side:
+        if shares[0] < least:
+            continue
+        item = around(entry, words[doc], p * STEP) if whole else shares
+        if item[0] >= least and min(item[1:]) >= side:
             out[doc][entry.item] = max(shares[0], out[doc].get(entry.item, 0.0))
     return out
 
@@ -207,8 +222,8 @@ def _shards(benchmark: DataFrame, shard_bytes: int) -> Iterator[Index]:
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_bytes: int = SHARD_BYTES, keep: bool = False) -> DataFrame:
     """(doc_id, n_items long, items string: 'item:overlap' by item, comma-joined, contaminated boolean), a row for each row of `docs`.
 
-    An item is found in a document if one of its parts and a passage share LEAST of the part's word
-    shingles, and SIDE of the question's and of the answer's. Null and empty texts hold no item; null
+    An item is found in a document if LEAST of its word shingles, and SIDE of its question's and of its
+    answer's, are around one place. `overlap` is the largest of its parts'. Null and empty texts hold no item; null
     and empty items are in no document; repeated rows of either side change nothing. With `keep`
     the text goes along, as a column `text`.
     """
@@ -226,7 +241,7 @@ def _runner(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts, before in columns(batches, "doc_id", "text", "found"):
             found = []
-            for old, new in zip(before, matches(texts, index), strict=True):
+            for old, new in zip(before, matches(texts, index, whole=True), strict=True):
                 all_ = [*(x for x in old.split(",") if x), *(f"{i}:{s:.4f}" for i, s in new.items())]
                 found.append(",".join(sorted(all_, key=lambda x: int(x.split(":")[0]))))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(found, pa.string())], ["doc_id", "text", "found"])
@@ -248,7 +263,7 @@ def _filter(index: Index, text_col: str):
         for batch in batches:
             clean: list[bool] = []
             for (texts,) in columns(iter([batch]), text_col):
-                clean += [not m for m in matches(texts, index)]
+                clean += [not m for m in matches(texts, index, whole=True)]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return run

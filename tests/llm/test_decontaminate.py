@@ -98,3 +98,22 @@ def test_contamination(spark, shard_bytes):
     nothing = D.contamination(docs, bench.where("false")).collect()
     assert len(nothing) == len(rows) + 2 and not any(r.contaminated for r in nothing)
     assert D.contamination(docs.where("false"), bench).collect() == []
+
+
+def test_items_of_many_parts_count_as_a_whole(spark):
+    other = [f"x{i}" for i in range(200)]
+    items, docs = [], []
+    for n in (65, 68, 70, 125, 150, 300):
+        words = [f"{n}w{i}" for i in range(n)]
+        question, answer = words[: n - 12], words[n - 12 :]
+        items.append((n, f"{' '.join(question)}? {' '.join(answer)}"))
+        for before in range(0, 130, 13):
+            for clean in (words[-5:], answer, words[60:65], question, words[:48]):  # a tail, a side, a part
+                docs.append((0, " ".join([*other[:before], *clean, *other])))
+            docs.append((n, " ".join([*other[:before], *words, *other])))
+            docs.append((n, " ".join([*other[:before], *question, "zz", "answer", "zz", *answer])))
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = D.contamination(docs, bench).collect()
+    assert [r for r in got if r.items != (f"{r.doc_id}:1.0000" if r.doc_id else "")] == []
+    assert {r.doc_id for r in D.keep_clean(docs, bench).collect()} == {0}
