@@ -4,7 +4,8 @@ Writers hide words by leetspeak (1d10t), spacing (i d i o t) and repetition (idi
 lattice: a sign may stand for letters or be a sign, a separator may be nothing or end a word, a run of a
 letter may stand for one or two. Viterbi finds the letters that a character trigram model, counted over
 all documents, and the channel's costs make likeliest; a word with one reading only is its own
-restoration. The restored words are then scored.
+restoration. A word with a doubled letter and words joined by separators are taken as they stand and as
+they decode. The restored words are then scored.
 
 The score is learned from a bounded sample of labelled rows. Each whole word and each beginning and
 end of 4 to 6 letters has the lower confidence bound of its log odds between the classes; a word
@@ -44,7 +45,9 @@ SAMPLE, SUPPORT, Z, MARKED, STRONG = {1: 2000, 0: 4000}, 3, 3.0, 1.5, 2.5
 
 _WORD = re.compile(r"[^\W\d_]+")
 _TRIPLE = re.compile(r"(.)\1\1")
-_SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_*]{1,3}){3,}[^\W_](?![^\W_])")
+_DOUBLE = re.compile(r"(.)\1")
+_SIGN = "(?:[^\\W_]|[" + re.escape("".join(c for c in LEET if not c.isalnum())) + "])"
+_SPACED = re.compile(rf"(?<![^\W_])(?:{_SIGN}[{re.escape(''.join(sorted(SEPARATORS)))}]{{1,3}}){{2,}}{_SIGN}(?![^\W_])")
 _TRIM = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in LEET) + "«»“”„…–—’"
 
 
@@ -138,8 +141,12 @@ class Restorer:
         return "".join(reversed(letters)).split()
 
     def words(self, token: str) -> list[str]:
-        """The words of a token without white space, in lower case."""
+        """The words of a token without white space, in lower case: as they stand if they can."""
         core = _without_ornament(token).strip(_TRIM)
+        plain = self._standing(core)
+        return self.decode(core) if plain is None else plain
+
+    def _standing(self, core: str) -> list[str] | None:
         if core.isalpha() and not _TRIPLE.search(core):
             return [core]
         plain = core.rstrip("!|+(").lstrip("|+(")  # at an end these mostly are what they look like
@@ -148,7 +155,17 @@ class Restorer:
         parts = _WORD.findall(core)
         if not parts or all(c.isalpha() or c in SEPARATORS for c in core) and min(map(len, parts)) > 1 and not _TRIPLE.search(core):
             return parts
-        return self.decode(core)
+        return None
+
+    def readings(self, token: str) -> list[str]:
+        """words(), and what they decode to if a doubled letter or a separator may hide a word."""
+        core = _without_ornament(token).strip(_TRIM)
+        plain = self._standing(core)
+        if plain is None:
+            return self.decode(core)
+        if len(plain) > 1 or plain and _DOUBLE.search(plain[0]):
+            plain += [w for w in self.decode(core if len(plain) > 1 else plain[0]) if w not in plain]
+        return plain
 
     def spaced(self, text: str) -> list[str]:
         """Words restored from single letters with spaces between them; without one they are a token."""
@@ -176,7 +193,7 @@ class Model:
 
     def scorer(self) -> _Scorer:
         restorer = Restorer(self.costs)
-        score = lambda token: max(map(self.word_score, restorer.words(token)), default=0.0)
+        score = lambda token: max(map(self.word_score, restorer.readings(token)), default=0.0)
         return _Scorer(self, restorer, kept(("toxicity", self.name), lambda: Memo(lambda tokens: list(map(score, tokens)), longest=200)))
 
 
@@ -299,7 +316,7 @@ def fit(texts: list[str], labels: list[int], costs: np.ndarray) -> Model:
     if not len(y) or y.min() == y.max():
         return Model(costs, {}, (50.0 if len(y) and y.max() else -50.0, 0.0, 0.0, 0.0))
     restorer = Restorer(costs)
-    memo = Memo(lambda tokens: list(map(restorer.words, tokens)), most=100_000)
+    memo = Memo(lambda tokens: list(map(restorer.readings, tokens)), most=100_000)
     docs = []
     for text in texts:
         low = text.lower()

@@ -73,6 +73,27 @@ def test_spaced_words_are_restored(costs):
     assert T.Restorer(costs).words("12,5") == [] and T.Restorer(costs).words("") == []
 
 
+@pytest.mark.parametrize("hidden", ["iddiot", "moroon", "mo-ron", "sc'um", "mor~on", "sc/um"])
+def test_doubled_letters_and_inner_separators_hide_words(costs, hidden):
+    restorer = T.Restorer(costs)
+    assert set(restorer.readings(hidden)) & set(BAD)
+    assert set(restorer.words(hidden)) <= set(restorer.readings(hidden))
+    model = T.Model(costs, {f"={w}": 3.0 for w in BAD}, (-1.0, 1.0, 0.0, 0.0))
+    assert model.scorer().score(f"you {hidden} there") > 0.5 > model.scorer().score("green-house letter")
+
+
+@pytest.mark.parametrize("hidden", ["s c @ m", "m o r $ n", "m ' o ' r ' o ' n", "m / o / r / o / n", "m ~ o ~ r ~ o ~ n", "s c u m"])
+def test_spaced_signs_are_decoded(costs, hidden):
+    found = T.Restorer(costs).spaced(f"you {hidden} there")
+    assert found and found == T.Restorer(costs).decode(hidden)
+
+
+def test_three_spaced_letters_are_a_word():
+    restorer = T.Restorer(T.character_costs({int(c): 100 for c in T.trigrams("fat")}))
+    assert restorer.spaced("you f a t one") == restorer.spaced("f a t") == restorer.spaced("f @ t") == ["fat"]
+    assert restorer.spaced("you f a one") == []
+
+
 def test_long_runs_take_linear_time(costs):
     restorer = T.Restorer(costs)
     for token in ("a" + "*" * 200_000 + "b", "=" * 200_000, "$" * 100_000 + "x", "1" * 20_000 + "a"):
