@@ -335,6 +335,13 @@ def fit(texts: list[str], labels: list[int], costs: np.ndarray) -> Model:
     return Model(costs, weights, tuple(fit_logistic(x, y).tolist()))
 
 
+def unsampled(intercept: float, sampled: dict[int, int], every: dict[int, int]) -> float:
+    """The intercept for classes of `every` size, from a fit on `sampled` rows of each; as it is without rows of both."""
+    if not all(sampled.get(y) and every.get(y) for y in (0, 1)):
+        return intercept
+    return intercept - math.log(sampled[1] / every[1]) + math.log(sampled[0] / every[0])
+
+
 def is_held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
@@ -343,7 +350,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Count the character model over all of `docs`, and fit the score on labelled rows that aren't held out.
 
     Of each class the rows with the smallest hashes of their ids are taken, SAMPLE[class] at most; the
-    sample is broadcast, and one task fits it. A document with several labels is toxic if one of them
+    sample is broadcast, one task fits it, and the intercept is set back to the classes' shares of all these rows. A document with several labels is toxic if one of them
     says so; null ids and labels count for nothing.
     """
     bounds = sample or SAMPLE
@@ -351,6 +358,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     costs = character_costs(counts)
     known = labels.select(*column_names(labels, doc_id=label_id_col, toxic=label_col)).where("doc_id is not null and toxic is not null")
     known = known.where(~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    every = {r.toxic: r["count"] for r in known.where(F.col("toxic").isin(*bounds)).groupBy("toxic").count().collect()}
     picks = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in sorted(bounds.items())]
     texts = docs.select(*column_names(docs, doc_id=id_col, text=text_col)).where("text is not null")
     rows = texts.join(F.broadcast(picks[0].unionByName(picks[1])), "doc_id").select("text", "toxic")
@@ -365,8 +373,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in items]), pa.array([float(w) for _, w in items])], ["part", "weight"])
 
     found = dict(rows.repartition(1).mapInArrow(run, "part string, weight double").collect())
-    logistic = tuple(found.pop(f"#{i}", d) for i, d in enumerate((-50.0, 0.0, 0.0, 0.0)))
-    return Model(costs, found, logistic)
+    first, *rest = (found.pop(f"#{i}", d) for i, d in enumerate((-50.0, 0.0, 0.0, 0.0)))
+    first = unsampled(first, {y: min(n, bounds[y]) for y, n in every.items()}, every)
+    return Model(costs, found, (first, *rest))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -183,3 +183,17 @@ def test_bounds_equal_brute_force():
         assert any(k[0] == "<" for k in got) and any(k[0] == "=" for k in got)
         model = T.Model(np.zeros((T.KINDS,) * 3), got)
         assert evidence.word_scores(own, part) == pytest.approx([model.word_score(w) for w in evidence.words])
+
+
+def test_a_bounded_sample_does_not_shift_the_intercept(spark, monkeypatch):
+    assert T.unsampled(0.5, {1: 20, 0: 40}, {1: 20, 0: 40}) == 0.5 == T.unsampled(0.5, {1: 20}, {1: 30})
+    assert T.unsampled(0.5, {1: 2000, 0: 4000}, {1: 3000, 0: 60000}) == pytest.approx(0.5 + math.log(3000 / 60000) - math.log(2000 / 4000))
+    rows = corpus()
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    own = T.train(docs, labels, sample={1: 40, 0: 10})
+    monkeypatch.setattr(T, "unsampled", lambda first, sampled, every: first)
+    fitted = T.train(docs, labels, sample={1: 40, 0: 10})
+    kept = Counter(y for i, _, y in rows if zlib.crc32(str(i).encode()) % 5)
+    assert own.logistic[1:] == fitted.logistic[1:]
+    assert own.logistic[0] - fitted.logistic[0] == pytest.approx(math.log(kept[1] / kept[0]) - math.log(40 / 10))
