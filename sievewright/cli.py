@@ -1,7 +1,7 @@
 """Command line: presets, extract, tag.
 
     python -m sievewright presets
-    python -m sievewright extract --preset style --decoder module:function --set interval_seconds=3 OUTPUT VIDEO...
+    python -m sievewright extract --preset style --decoder module:function --set sampling=interval --set interval_seconds=3 OUTPUT VIDEO...
     python -m sievewright tag --model module:function --vocabulary tags.csv --trigger word FOLDER
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from . import sinks
 from .config import Config, list_presets, load_preset
 from .functions import text
-from .operators import inference, overlays, quality, tagging
+from .operators import inference, overlays, quality, sampling, tagging
 from .plans import extract
 from .plans.shipping import ship
 from .plans.storage import written
@@ -73,6 +73,15 @@ def parser() -> argparse.ArgumentParser:
     return out
 
 
+def _unfinished(spark: SparkSession, videos: Sequence[str], output: str) -> list[str]:
+    """The videos whose numbers no earlier run has written."""
+    path = lambda video: spark._jvm.org.apache.hadoop.fs.Path(f"{output}/{video}/_stats.json")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    done = [(v,) for v in videos if path(v).getFileSystem(conf).exists(path(v))]
+    left = quality.pending(spark.createDataFrame([(v,) for v in videos], "video string"), spark.createDataFrame(done, "video string"))
+    return [r.video for r in left.collect()]
+
+
 def _extract(spark: SparkSession, args: argparse.Namespace) -> dict:
     import tomllib
 
@@ -84,19 +93,30 @@ def _extract(spark: SparkSession, args: argparse.Namespace) -> dict:
     if args.dry_run:
         return config.to_dict()
     start = time.time()
+    videos = _unfinished(spark, args.videos, config.output) if config.skip_existing else args.videos
+    if not videos:
+        return {"written": 0, "output": config.output}
     spark.dataSource.register(FrameSource)
-    frames = spark.read.format("frames").option("paths", "\n".join(args.videos)).option("decoder", args.decoder).load()
+    frames = spark.read.format("frames").option("paths", "\n".join(videos)).option("decoder", args.decoder).load()
+    whole = frames
+    if config.sampling == "interval":
+        picked = sampling.at_intervals(sampling.video_meta(frames), config.interval_seconds)
+        frames = frames.join(picked, ["video", "frame_index"], "left_semi")
     if config.segments:
         named = text.file_name(F.col("video"))
         spans = settings.segments(spark, args.segment)
         frames = quality.in_segments(frames.withColumn("_name", named), spans.withColumnRenamed("video", "_name"), video="_name").drop("_name")
-    found = written(overlays.detected(frames)) if config.detect_watermark or config.crop_watermark else None
-    done = extract.curated(extract.measured(frames, config, found), config, watermarks=found)
+    found = written(overlays.detected(whole)) if config.detect_watermark or config.crop_watermark else None
+    index = files.load_index(spark, config.dedup_index, config.phash_distance)[0] if config.dedup and config.dedup_index else None
+    done = extract.curated(extract.measured(frames, config, found), config, index=index, watermarks=found)
     images = extract.rendered(done.records, frames, config, sinks.encoder(config.output_format))
     n = sinks.save_files(images, config.output)
     sinks.save_files(sinks.stats_files(done.stats), config.output)
     pages = [("_report.html", sinks.report_html(done.stats, done.records).encode()), ("_run_summary.json", sinks.run_summary(done.stats, time.time() - start).encode())]
     sinks.save_files(spark.createDataFrame(pages, "path string, content binary"), config.output)
+    if index is not None:
+        new = done.records.where("hash is not null").select("hash", F.col("path").alias("source"))
+        files.save_index(index.unionByName(new), config.dedup_index, config.phash_distance)
     return {"written": n, "output": config.output}
 
 

@@ -33,6 +33,22 @@ def test_extract(spark, capsys, tmp_path):
     assert json.loads((tmp_path / "out/clip.mp4/_stats.json").read_text())["written"] == 4
 
 
+def test_extract_samples_skips_and_remembers(spark, capsys, tmp_path):
+    def run(out, *settings, videos=("clip.mp4",)):
+        sizes = ("resolution=256", "min_bucket=64", "max_bucket=256", "min_pixels=1000", "min_per_video=0", *settings)
+        cli.main(["extract", *[s for n in sizes for s in ("--set", n)], "--decoder", "frames_for_tests:decode", str(tmp_path / out), *videos])
+        return json.loads(capsys.readouterr().out)["written"]
+
+    index = f"dedup_index={tmp_path / 'index.json'}"
+    assert run("a", "sampling=interval", "interval_seconds=0.4", index) == 5
+    assert json.loads((tmp_path / "a/clip.mp4/_stats.json").read_text())["candidates"] == 5
+    assert run("a", "sampling=interval", "interval_seconds=0.4") == 0  # finished
+    assert run("a", "sampling=interval", "interval_seconds=0.4", videos=("clip.mp4", "clip_2.mp4")) == 5
+    assert len(json.loads((tmp_path / "index.json").read_text())["entries"]) == 5
+    assert run("b", "sampling=interval", "interval_seconds=0.4", index) == 0  # all known
+    assert run("b", "sampling=interval", "interval_seconds=0.4", "skip_existing=false") == 5
+
+
 def test_rejects_move(spark, tmp_path, capsys):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.png").write_bytes(sinks.png(frames_for_tests.image("x", 0)))
