@@ -86,7 +86,7 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 def shape(word: str) -> str:
     """Letters as one A or a for each run, digits as 0 with runs up to five long, signs as they are."""
     out = []
-    for c in word[:64]:
+    for c in word:
         s = "0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c
         if s in "Aa" and out and out[-1] == s or s == "0" and out[-5:] == ["0"] * 5:
             continue

@@ -122,3 +122,7 @@ def test_find_and_mask(spark):
 
 def test_overlapping_spans_are_masked_once():
     assert pii._masked("abcdefgh", [(1, "email", 5), (3, "phone", 7)]) == "a<EMAIL>h"
+
+
+def test_shapes_are_of_whole_words():
+    assert pii.shape("x" * 100 + "@b.org") == "a@a.a" and pii.shape("-" * 70 + "1234567") == "-" * 70 + "00000"
