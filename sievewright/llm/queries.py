@@ -43,7 +43,7 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     good = table(spark, sf_dir, "labels").where("quality = 1")
-    out = cross_entropy.score(docs, cross_entropy.train(docs, good))
+    out = cross_entropy.score(docs, good)
     return out.withColumns({c: F.round(c, 6) for c in ("loss_target", "loss_background", "difference")})
 
 
