@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import argparse
 import dataclasses
-import importlib
 import json
 import time
 from collections.abc import Sequence
@@ -20,17 +19,12 @@ from pyspark.sql import functions as F
 from . import sinks
 from .config import Config, list_presets, load_preset
 from .functions import text
-from .operators import inference, overlays, quality, sampling, tagging
-from .plans import extract
+from .operators import inference, quality, reports, tagging
+from .plans import candidates, extract
 from .plans.shipping import ship
-from .plans.storage import written
-from .sources import files, settings
-from .sources.video import FrameSource
-
-
-def _named(what: str):
-    module, _, name = what.partition(":")
-    return getattr(importlib.import_module(module), name)
+from .plans.storage import run_tables, written
+from .sources import files, settings, video
+from .sources.video import named as _named
 
 
 def _override(spec: str) -> tuple[str, object]:
@@ -59,6 +53,9 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--preset")
     run.add_argument("--config")
     run.add_argument("--decoder", required=True, help="module:function that gives a video's frames")
+    run.add_argument("--encoder", help="module:function that makes the bytes of an image, for formats other than PNG")
+    run.add_argument("--model", help="module:function that makes a tagger, for the setting tag_images")
+    run.add_argument("--vocabulary", help="the tagger's tags")
     run.add_argument("--segment", action="append", default=[], help="NAME:START-END in seconds")
     run.add_argument("--set", action="append", default=[], type=_override, metavar="NAME=VALUE")
     run.add_argument("--dry-run", action="store_true", help="print the settings and stop")
@@ -82,42 +79,78 @@ def _unfinished(spark: SparkSession, videos: Sequence[str], output: str) -> list
     return [r.video for r in left.collect()]
 
 
-def _extract(spark: SparkSession, args: argparse.Namespace) -> dict:
+def _settings(args: argparse.Namespace) -> Config:
+    """The run's settings in layers."""
     import tomllib
 
     layers: list[dict] = [load_preset(args.preset)] if args.preset else []
     if args.config:
         with open(args.config, "rb") as f:
             layers.append(tomllib.load(f))
-    config = Config.layered(*layers, dict(args.set), {"output": args.output, "input": ",".join(args.videos), "segments": settings.parse_segments(args.segment) or None})
+    return Config.layered(*layers, dict(args.set), {"output": args.output, "input": ",".join(args.videos), "segments": settings.parse_segments(args.segment) or None})
+
+
+def _refuse(config: Config, args: argparse.Namespace) -> None:
+    """An error for what this engine can't do, before anything is read."""
+    if config.gpu_accel:
+        raise ValueError("gpu_accel: there are no GPU kernels here")
+    if config.phash_size > 8:
+        raise ValueError("phash_size: hashes of over 64 bits aren't supported")
+    if config.output_format != "png" and not args.encoder:
+        raise ValueError(f"output_format {config.output_format}: name an --encoder; only PNG is built in")
+    if config.tag_images and not (args.model or config.tagger_model) or config.tag_images and not args.vocabulary:
+        raise ValueError("tag_images needs --model (or the setting tagger_model, as module:function) and --vocabulary")
+
+
+def _encoder(config: Config, name: str | None):
+    """An image's bytes. A caller's encoder gets the quality that is set for its format."""
+    if config.output_format == "png" and not name:
+        return sinks.encoder("png")
+    quality_ = {"jpg": config.jpg_quality, "webp": config.webp_quality}.get(config.output_format)
+    encode = _named(name)
+    return (lambda image: encode(image)) if quality_ is None else lambda image: encode(image, quality_)
+
+
+def _extract(spark: SparkSession, args: argparse.Namespace) -> dict:
+    config = _settings(args)
     if args.dry_run:
         return config.to_dict()
+    _refuse(config, args)
+    spark.sparkContext.setLogLevel("WARN" if config.log_level == "WARNING" else config.log_level)
     start = time.time()
-    videos = _unfinished(spark, args.videos, config.output) if config.skip_existing else args.videos
-    if not videos:
+    left = _unfinished(spark, args.videos, config.output) if config.skip_existing else args.videos
+    if not left:
         return {"written": 0, "output": config.output}
-    spark.dataSource.register(FrameSource)
-    frames = spark.read.format("frames").option("paths", "\n".join(videos)).option("decoder", args.decoder).load()
-    whole = frames
-    if config.sampling == "interval":
-        picked = sampling.at_intervals(sampling.video_meta(frames), config.interval_seconds)
-        frames = frames.join(picked, ["video", "frame_index"], "left_semi")
-    if config.segments:
-        named = text.file_name(F.col("video"))
-        spans = settings.segments(spark, args.segment)
-        frames = quality.in_segments(frames.withColumn("_name", named), spans.withColumnRenamed("video", "_name"), video="_name").drop("_name")
-    found = written(overlays.detected(whole)) if config.detect_watermark or config.crop_watermark else None
-    index = files.load_index(spark, config.dedup_index, config.phash_distance)[0] if config.dedup and config.dedup_index else None
-    done = extract.curated(extract.measured(frames, config, found), config, index=index, watermarks=found)
-    images = extract.rendered(done.records, frames, config, sinks.encoder(config.output_format))
-    n = sinks.save_files(images, config.output)
+    videos = spark.createDataFrame([(v,) for v in left], "video string")
+    found = candidates.candidates(videos, args.decoder, config)
+    marks = written(candidates.overlaid(videos, args.decoder, found.meta)) if config.detect_watermark or config.crop_watermark else None
+    index = files.load_index(spark, config.dedup_index, config.phash_distance, config.phash_size)[0] if config.dedup and config.dedup_index else None
+    done = extract.curated(extract.measured(found.frames, config, marks), config, index=index, watermarks=marks)
+    records = written(done.records)
+    sinks.refuse_repeats(records)
+    # a stream of key frames is read again; of other videos only what is kept is decoded
+    again = found.frames if found.meta is None else video.decoded(records, args.decoder, config.seek_accurate, config.workers or None)
+    n = sinks.save_files(extract.rendered(records, again, config, _encoder(config, args.encoder)), config.output)
+    tags = None
+    if config.tag_images:
+        tags = tag_folder(spark, config.output, _named(args.model or config.tagger_model), args.vocabulary, config.trigger_word, config.tag_general_threshold, config.tag_character_threshold, config.tag_blacklist, config.tag_always, config.tag_require, config.tag_exclude, config.trait_prune_threshold)
     sinks.save_files(sinks.stats_files(done.stats), config.output)
-    pages = [("_report.html", sinks.report_html(done.stats, done.records).encode()), ("_run_summary.json", sinks.run_summary(done.stats, time.time() - start).encode())]
+    top = spark.createDataFrame([tuple(t) for t in tags["top"]], "token string, n long") if tags else None
+    pages = [("_report.html", sinks.report_html(done.stats, records, top).encode()), ("_run_summary.json", sinks.run_summary(done.stats, time.time() - start).encode())]
+    images = records.select("path")
+    if tags:
+        gone = files.collect_images(spark, config.output).select(F.expr(f"substring(path, {len(config.output.rstrip('/')) + 2})").alias("path"))
+        images = images.join(gone, "path", "left_semi")
+    if config.contact_sheet and (sheet := sinks.sheet_of(images, config.output)) is not None:
+        pages.append(("_contact_sheet.png", sinks.png(sheet, 6)))
     sinks.save_files(spark.createDataFrame(pages, "path string, content binary"), config.output)
+    if config.html_gallery and n:
+        captions = sinks.caption_tokens(images, config.output) if tags else None
+        sinks.save_files(sinks.gallery_pages(reports.gallery_rows(images, records, captions)), config.output)
     if index is not None:
-        new = done.records.where("hash is not null").select("hash", F.col("path").alias("source"))
-        files.save_index(index.unionByName(new), config.dedup_index, config.phash_distance)
-    return {"written": n, "output": config.output}
+        new = records.where("hash is not null").select("hash", F.col("path").alias("source"))
+        files.save_index(index.unionByName(new), config.dedup_index, config.phash_distance, config.phash_size)
+    return {"written": n, "output": config.output, **({"tags": tags} if tags else {})}
 
 
 def tag_folder(spark: SparkSession, folder: str, make_model, vocabulary: str, trigger: str = "", threshold: float = 0.35, character_threshold: float = 0.85, blacklist: str = "", always: str = "", require: str = "", exclude: str = "", prune_threshold: float = 0.0) -> dict:
@@ -160,8 +193,10 @@ def main(argv: Sequence[str] | None = None) -> int:
     spark = SparkSession.builder.appName("sievewright").getOrCreate()
     ship(spark)
     if args.command == "extract":
-        print(json.dumps(_extract(spark, args), indent=1))
-    else:
+        with run_tables(spark):
+            print(json.dumps(_extract(spark, args), indent=1))
+        return 0
+    with run_tables(spark):
         names = ("trigger", "threshold", "character_threshold", "blacklist", "always", "require", "exclude", "prune_threshold")
         print(json.dumps(tag_folder(spark, args.folder, _named(args.model), args.vocabulary, **{n: getattr(args, n) for n in names}), indent=1))
     return 0

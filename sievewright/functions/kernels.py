@@ -132,6 +132,21 @@ def hsv(image: np.ndarray) -> np.ndarray:
     return np.stack([np.rint(hue / 2) % 180, np.rint(saturation), value], -1).astype(np.uint8)
 
 
+def small_hsv(image: np.ndarray, side: int = 256) -> np.ndarray:
+    """hsv() of every k-th pixel, so that the image is about `side` wide; grey images have a value only."""
+    k = max(1, image.shape[1] // side)
+    small = image[::k, ::k]
+    if small.ndim == 2 or small.shape[2] == 1:
+        grey_ = small.reshape(small.shape[:2])
+        return np.stack([np.zeros_like(grey_), np.zeros_like(grey_), grey_], -1)
+    return hsv(small[..., :3])
+
+
+def content_delta(a: np.ndarray, b: np.ndarray) -> float:
+    """How much the content changes: the mean over hue, saturation and value of the pixels' mean difference."""
+    return float(np.abs(a.astype(np.int16) - b.astype(np.int16)).mean())
+
+
 def colour_fingerprint(image: np.ndarray, bins: tuple[int, int, int] = (16, 8, 4)) -> np.ndarray:
     """Histogram over hue, saturation and value, with a sum of one."""
     p = hsv(image).reshape(-1, 3).astype(np.int64)
@@ -252,34 +267,21 @@ def boxes(mask: np.ndarray) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def overlays(frames: list[np.ndarray], min_confidence: float = 0.6) -> list[dict]:
-    """Static overlays in grey frames of one video: the three most confident boxes, or none from fewer than five frames."""
+def static_regions(frames: list[np.ndarray]) -> list[dict]:
+    """What doesn't move in grey frames of one video: boxes with the share of edges, the share of still pixels, and that of
+    the largest and the smallest of eight bins of grey. Nothing is known from fewer than five frames."""
     if len(frames) < 5:
         return []
     stack = np.stack(frames).astype(np.float32)
-    h, w = stack.shape[1:]
-    static = stack.std(0) < 8.0
+    still = stack.std(0) < 8.0
     mean = stack.mean(0).astype(np.uint8)
-    mask = edges(mean, 60, 150)
-    found = []
-    for x, y, bw, bh in boxes(dilated(dilated(static, 25, 9), 25, 9)):
-        area, cx, cy = bw * bh, x + bw / 2, y + bh / 2
-        if not (800 <= area <= h * w * 0.04 and bw >= 30 and bh >= 10):
-            continue
-        if not (cy < h * 0.12 or cy > h - h * 0.12 or cx < w * 0.12 or cx > w - w * 0.12):
-            continue
-        part = np.s_[y : y + bh, x : x + bw]
-        density, still = mask[part].mean(), static[part].mean()
-        share = np.sort(np.histogram(mean[part], bins=8, range=(0, 256))[0] / area)
-        tones = share[-1] + share[0]  # the largest and the smallest bin
-        if not 0.02 <= density <= 0.40 or still < 0.01 or tones < 0.45:
-            continue
-        confidence = min(1.0, density * 6) * min(1.0, bw / max(1.0, bh * 1.5)) * min(1.0, tones * 1.5)
-        if confidence >= min_confidence:
-            across = "left" if cx < w * 0.35 else "right" if cx > w * 0.65 else "center"
-            down = "top" if cy < h * 0.35 else "bottom" if cy > h * 0.65 else "middle"
-            found.append({"x": x, "y": y, "w": bw, "h": bh, "confidence": float(confidence), "location": f"{down}-{across}"})
-    return sorted(found, key=lambda r: -r["confidence"])[:3]
+    lines = edges(mean, 60, 150)
+    out = []
+    for x, y, w, h in boxes(dilated(dilated(still, 25, 9), 25, 9)):
+        part = np.s_[y : y + h, x : x + w]
+        tones = np.histogram(mean[part], bins=8, range=(0, 256))[0] / (w * h)
+        out.append({"x": x, "y": y, "w": w, "h": h, "edge": float(lines[part].mean()), "static": float(still[part].mean()), "bimodal": float(tones.max() + tones.min())})
+    return out
 
 
 def tagger_input(image: np.ndarray, side: int = 448) -> np.ndarray:

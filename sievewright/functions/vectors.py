@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 C1, C2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
 
 
+def _let(value: Column, f) -> Column:
+    """f(value) with `value` worked out once, however often f names it: inside a lambda, what is named is worked out again for each element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _sum(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
 
@@ -34,8 +39,7 @@ def chi_squared(a: Column, b: Column) -> Column:
 def histogram(v: Column) -> Column:
     """Absolute values scaled to a sum of one; a vector of zeros stays one."""
     size = F.transform(v, F.abs)
-    total = _sum(size)
-    return F.transform(size, lambda x: F.when(total > 0, x / total).otherwise(0.0))
+    return _let(F.struct(size.alias("v"), _sum(size).alias("total")), lambda s: F.transform(s["v"], lambda x: F.when(s["total"] > 0, x / s["total"]).otherwise(0.0)))
 
 
 def as_grey(v: Column) -> Column:
@@ -45,11 +49,16 @@ def as_grey(v: Column) -> Column:
 
 def median_bits(v: Column) -> Column:
     """Bits, from the first element on, of whether each element is over the median; 64 elements make a long."""
-    ordered = F.sort_array(v)
-    half = F.floor(F.size(v) / 2).cast("int")
-    upper = F.element_at(ordered, half + 1)
-    median = F.when(F.size(v) % 2 == 1, upper).otherwise((F.element_at(ordered, half) + upper) / 2)
-    return F.aggregate(v, F.lit(0).cast("long"), lambda acc, x: F.shiftleft(acc, 1).bitwiseOR(F.when(x > median, 1).otherwise(0).cast("long")))
+
+    def median(ordered: Column) -> Column:
+        half = F.floor(F.size(ordered) / 2).cast("int")
+        upper = F.element_at(ordered, half + 1)
+        return F.when(F.size(ordered) % 2 == 1, upper).otherwise((F.element_at(ordered, half) + upper) / 2)
+
+    def bits(s: Column) -> Column:
+        return F.aggregate(s["v"], F.lit(0).cast("long"), lambda acc, x: F.shiftleft(acc, 1).bitwiseOR(F.when(x > s["m"], 1).otherwise(0).cast("long")))
+
+    return _let(F.struct(v.alias("v"), _let(F.sort_array(v), median).alias("m")), bits)
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -78,17 +78,30 @@ class Colourful(_Recent):
         return bool((gaps >= self.distance).all())
 
 
-class Unseen(_Recent):
-    """Passes if no accepted hash (a uint64 array of one element) is within the distance."""
+class Unseen:
+    """Passes if no accepted hash (a uint64) is within the distance.
+
+    It remembers all of a video's accepted hashes, as whatever was kept rules out what is near it: eight bytes each, in
+    one array that doubles when it is full.
+    """
 
     name = "dup"
 
-    def __init__(self, distance: int = 5, most: int | None = None):
-        super().__init__(most)
+    def __init__(self, distance: int = 5):
         self.distance = distance
+        self.reset()
+
+    def reset(self) -> None:
+        self.held, self.n = np.zeros(64, np.uint64), 0
 
     def passes(self, vector: np.ndarray) -> bool:
-        return not self.kept or bool((np.bitwise_count(np.array(self.kept) ^ vector) > self.distance).all())
+        return bool((np.bitwise_count(self.held[: self.n] ^ vector) > self.distance).all())
+
+    def accept(self, vector: np.ndarray) -> None:
+        if self.n == len(self.held):
+            self.held = np.concatenate((self.held, np.zeros_like(self.held)))
+        self.held[self.n] = vector
+        self.n += 1
 
 
 def fold(rows: DataFrame, filters: dict[str, Filter], video: str = "video", index: str = "idx", most: int | None = None) -> DataFrame:

@@ -29,14 +29,14 @@ def nearest_bucket(w: Column, h: Column, buckets: list[tuple[int, int]]) -> Colu
     return F.struct(best["bucket_w"].alias("bucket_w"), best["bucket_h"].alias("bucket_h"))
 
 
-def with_bucket(sizes: DataFrame, buckets: list[tuple[int, int]], w: str = "w", h: str = "h") -> DataFrame:
-    """Each row of a positive size with its bucket's bucket_w and bucket_h.
+def with_bucket(sizes: DataFrame, buckets: list[tuple[int, int]], w: str = "w", h: str = "h", keep_all: bool = False) -> DataFrame:
+    """Each row of a positive size with its bucket's bucket_w and bucket_h; with `keep_all` other rows too, without a bucket.
 
     The grid is a literal that each distinct size goes through once; rows then find theirs by an equality join.
     """
     distinct = sizes.select(F.col(w).alias("_w"), F.col(h).alias("_h")).where("_w > 0 and _h > 0").distinct()
     found = distinct.select("_w", "_h", nearest_bucket(F.col("_w"), F.col("_h"), buckets).alias("_b")).select("_w", "_h", "_b.bucket_w", "_b.bucket_h")
-    return sizes.join(found, (F.col(w) == F.col("_w")) & (F.col(h) == F.col("_h"))).drop("_w", "_h")
+    return sizes.join(found, (F.col(w) == F.col("_w")) & (F.col(h) == F.col("_h")), "left" if keep_all else "inner").drop("_w", "_h")
 
 
 def enough_pixels(bucketed: DataFrame, min_pixels: int = 500_000) -> DataFrame:

@@ -9,14 +9,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def scenes(frames: DataFrame, threshold: float, skip: int = 4, video: str = "video", index: str = "frame_index", content: str = "luma", t: str = "t") -> DataFrame:
+def scenes(frames: DataFrame, threshold: float, skip: int = 4, video: str = "video", index: str = "frame_index", content: str = "luma", t: str = "t", delta: str | None = None, least: int = 0) -> DataFrame:
     """(video, scene, start_frame, end_frame, start_time, end_time): a new scene begins where the content of frames that are
-    `skip` + 1 apart differs by the threshold or more. The end is exclusive: the next scene's start, or the number of frames."""
+    `skip` + 1 apart differs by the threshold or more. The end is exclusive: the next scene's start, or the number of frames.
+
+    delta: a column that has the difference already, in place of `content`. least: frames that a scene has at least;
+    a cut that comes sooner after the last one is none.
+    """
     order = Window.partitionBy(video).orderBy(index)
     whole = Window.partitionBy(video)
     seen = frames.withColumns({"_n": F.max(index).over(whole) + 1, "_last": F.max(t).over(whole)}).where(F.col(index) % (skip + 1) == 0)
-    cut = F.coalesce((F.abs(F.col(content) - F.lag(content).over(order)) >= threshold).cast("int"), F.lit(0))
-    numbered = seen.withColumn("_cut", cut).withColumn("scene", F.sum("_cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    gap = F.col(delta) if delta else F.abs(F.col(content) - F.lag(content).over(order))
+    seen = seen.withColumn("_cut", F.when(F.col(index) > 0, F.coalesce((gap >= threshold).cast("int"), F.lit(0))).otherwise(0))
+    if least > 0:
+        apart = thinned(seen.where((F.col("_cut") == 1) | (F.col(index) == 0)), least, video, index).withColumn("_far", F.lit(1))
+        seen = seen.join(apart, [video, index], "left").withColumn("_cut", F.when(F.col("_far") == 1, F.col("_cut")).otherwise(0))
+    numbered = seen.withColumn("scene", F.sum("_cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     starts = numbered.groupBy(video, "scene").agg(F.min(index).alias("_from"), F.min(t).alias("start_time"), F.max("_n").alias("_n"), F.max("_last").alias("_last"))
     after = Window.partitionBy(video).orderBy("scene")
     first = F.when(F.col("scene") == 0, 0).otherwise(F.col("_from")).cast("long")
@@ -66,8 +74,8 @@ def first_frames(frames: DataFrame, most: int = 200, video: str = "video", index
     return frames.withColumn("_row", F.row_number().over(order)).where(F.col("_row") <= most).drop("_row")
 
 
-def thinned(frames: DataFrame, gap: int, video: str = "video", index: str = "frame_index") -> DataFrame:
-    """(video, frame_index) that are at least `gap` after the last kept one; a video's first is kept.
+def thinned(frames: DataFrame, gap: int | str, video: str = "video", index: str = "frame_index") -> DataFrame:
+    """(video, frame_index) that are at least `gap`, a number or a column, after the last kept one; a video's first is kept.
 
     Rows are dealt by video and sorted, and a task remembers one number: no group is held in memory.
     """
@@ -76,15 +84,15 @@ def thinned(frames: DataFrame, gap: int, video: str = "video", index: str = "fra
         video_now, last = object(), 0
         for batch in batches:
             keep = []
-            for v, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                take = v != video_now or i - last >= gap
+            for v, i, least in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                take = v != video_now or i - last >= least
                 if take:
                     video_now, last = v, i
                 keep.append(take)
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-    picked = frames.select(video, index).distinct()
-    return picked.repartition(video).sortWithinPartitions(video, index).mapInArrow(run, picked.schema)
+    rows = frames.select(video, index, (F.col(gap) if isinstance(gap, str) else F.lit(gap)).cast("long").alias("_gap")).distinct()
+    return rows.repartition(video).sortWithinPartitions(video, index).mapInArrow(run, frames.select(video, index).schema)
 
 
 def even_sample(videos: DataFrame, count: int, fewest: int = 5, frame_count: str = "frame_count", video: str = "video") -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
+from ..plans.storage import written
+
 
 def capped(accepted: DataFrame, most: int, video: str = "video", index: str = "frame_index") -> DataFrame:
     """The first `most` of each video."""
@@ -38,14 +41,34 @@ def backfilled(gated: DataFrame, accepted: DataFrame, min_per_video: int, max_pe
     return accepted.select(*columns, F.lit(False).alias("backfilled")).unionByName(added)
 
 
+def places(rows: DataFrame, *order: str) -> DataFrame:
+    """`rows`, whose columns `order` tell them apart, with `place`: 0, 1, 2, ... in this order, without a task that holds them all.
+
+    Ranges of rows are numbered each by itself; a small sum of the ranges' sizes tells where each begins.
+    """
+    ranged = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each range
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return ranged.join(before, "_part").withColumn("place", F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
+
+
 def sequence_numbers(kept: DataFrame, video_order: str, video: str = "video", index: str = "frame_index", offset: int = 100_000) -> DataFrame:
-    """With `seq`, a frame's number: its place in its video after an offset for each video, so that no video waits for another.
+    """With `in_video`, a frame's place among its video's from one, and `seq`, the same after an offset for each video.
 
-    video_order: column with a video's place, from zero.
+    video_order: column with a video's place, from zero. A video of more frames than the offset reaches into the next one's
+    numbers: names are made of `in_video`.
     """
     order = Window.partitionBy(video).orderBy(index)
-    return kept.withColumn("seq", (F.col(video_order) * offset + F.row_number().over(order)).cast("long"))
+    numbered = kept.withColumn("in_video", F.row_number().over(order).cast("long"))
+    return numbered.withColumn("seq", (F.col(video_order) * offset + F.col("in_video")).cast("long"))
 
 
 def output_name(stem: Column, seq: Column, extension: str) -> Column:
     return F.format_string(f"%s_%05d.{extension}", stem, seq)
+
+
+def folder(stem: Column, flatten: Column, repeats: Column, trigger: Column) -> Column:
+    """Where a video's images go: all together (an empty name), in a folder for repeats, or in one of their own."""
+    clean = text.collapse(trigger)
+    name = F.when(clean == "", "dataset").otherwise(text.sanitize_stem(clean))
+    return F.when(flatten & (repeats > 0), F.concat(repeats.cast("string"), F.lit("_"), name)).when(flatten, "").otherwise(stem)

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import Config
 from ..functions import text, vectors
-from ..operators import folds, geometry, near_hash, quality, reports, sampling, selection, tagging
-
-from ..sources.tables import SQL, frames, hash_rows, size_rows, stream_table, table, vector_rows
+from ..operators import folds, geometry, near_hash, overlays, quality, reports, sampling, selection, tagging
+from ..sources.tables import SQL, frames, hash_rows, patterned_frames, size_rows, stream_table, table, vector_rows
+from . import extract
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -122,6 +123,19 @@ def scene_islands(spark, sf_dir):
     return _scenes(spark, sf_dir).withColumns({c: F.round(c, 4) for c in ("start_time", "end_time")})
 
 
+@query(
+    f"""WITH RECURSIVE {SQL['frames']}, cuts AS (SELECT video, frame_index FROM frames WHERE frame_index = 0 OR luma >= 200),
+    kept AS (SELECT video, min(frame_index) AS frame_index FROM cuts GROUP BY video UNION ALL
+      SELECT k.video, (SELECT min(c.frame_index) FROM cuts c WHERE c.video = k.video AND c.frame_index >= k.frame_index + 15) FROM kept k WHERE k.frame_index IS NOT NULL),
+    n AS (SELECT video, max(frame_index) + 1 AS n FROM frames GROUP BY video)
+    SELECT video, row_number() OVER w - 1 AS scene, frame_index AS start_frame, coalesce(lead(frame_index) OVER w, n) AS end_frame FROM kept JOIN n USING (video) WHERE frame_index IS NOT NULL WINDOW w AS (PARTITION BY video ORDER BY frame_index)"""
+)
+def scene_cuts(spark, sf_dir):
+    """As the run does it: the difference is a column, and a scene has fifteen frames at least."""
+    cut = sampling.scenes(frames(spark, sf_dir), 200, skip=0, delta="luma", least=15)
+    return cut.select("video", "scene", "start_frame", "end_frame")
+
+
 _PICK = """SELECT DISTINCT video, i AS frame_index FROM (
   SELECT video, unnest(CASE WHEN n <= 1 THEN [a] WHEN k <= 1 THEN [(a + b) // 2]
     ELSE list_transform(range(0, k), lambda j: round_even(lo + j * ((hi - lo) / greatest(k - 1, 1)), 0)::BIGINT) END) AS i FROM (
@@ -289,10 +303,10 @@ def _boxes(spark, sf_dir):
 )
 def wm_crop_expand(spark, sf_dir):
     b = _boxes(spark, sf_dir)
-    overlays = b.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "x", "y", "w", "h"))).alias("o"))
+    around = b.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "x", "y", "w", "h"))).alias("o"))
     zero = F.lit(0).cast("long")
     cut = geometry.crop_around(zero, zero, F.lit(1920).cast("long"), F.lit(1080).cast("long"), F.col("o"))
-    return overlays.select("l_orderkey", cut.alias("c")).select("l_orderkey", "c.*")
+    return around.select("l_orderkey", cut.alias("c")).select("l_orderkey", "c.*")
 
 
 @query(
@@ -310,11 +324,8 @@ _CONFIDENT = f"""{_BOXES}, c AS (SELECT *, least(1.0::DOUBLE, edge * 6.0::DOUBLE
 
 
 def _confident(spark, sf_dir):
-    c = [F.col(n) for n in ("x", "y", "w", "h")]
-    gate = geometry.overlay_gate(*c, F.lit(1920), F.lit(1080), F.col("edge"), F.col("static"), F.col("bimodal"))
-    found = _boxes(spark, sf_dir).where(gate).withColumn("confidence", geometry.overlay_confidence(F.col("edge"), F.col("w"), F.col("h"), F.col("bimodal")))
-    order = Window.partitionBy("l_orderkey").orderBy(F.col("confidence").desc(), "l_linenumber", "x", "y")
-    return found.where("confidence >= 0.6").withColumn("rank", F.row_number().over(order)).where("rank <= 3")
+    regions = _boxes(spark, sf_dir).withColumns({"frame_w": F.lit(1920), "frame_h": F.lit(1080)})
+    return overlays.confident(regions, "l_orderkey", "l_linenumber", "x", "y")
 
 
 @query(f"WITH {_CONFIDENT} SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY confidence DESC, l_linenumber, x, y) AS rank, x, y, round(confidence, 4) AS confidence FROM c WHERE confidence >= 0.6 QUALIFY rank <= 3")
@@ -413,42 +424,51 @@ def phash_bits(spark, sf_dir):
     return hash_rows(spark, sf_dir)
 
 
-@query(f"WITH {SQL['hashes']} SELECT a.idx AS a, b.idx AS b, bit_count(xor(a.hash, b.hash))::INT AS distance FROM hashes a JOIN hashes b ON a.idx < b.idx AND bit_count(xor(a.hash, b.hash)) <= 20")
-def hamming_pairs(spark, sf_dir):
-    return near_hash.near_pairs(hash_rows(spark, sf_dir), 20, order="idx")
+#: Four hashes of each vector, one to ten bits apart: what re-encoded and cropped copies of an image give.
+_NEAR = f"""{SQL['hashes']}, flips AS (SELECT idx, hash, 1::BIGINT << (idx % 62) AS f1, xor(1::BIGINT << (idx * 7 % 62), 1::BIGINT << ((idx * 5 + 1) % 62)) AS f2, 15::BIGINT << (idx * 3 % 58) AS f3 FROM hashes),
+near AS (SELECT idx * 4 AS idx, hash FROM flips UNION ALL SELECT idx * 4 + 1, xor(hash, f1) FROM flips UNION ALL SELECT idx * 4 + 2, xor(hash, xor(f1, f2)) FROM flips UNION ALL SELECT idx * 4 + 3, xor(hash, xor(f1, xor(f2, f3))) FROM flips)"""
+_PAIRS = "SELECT a.idx AS a, b.idx AS b, bit_count(xor(a.hash, b.hash))::INT AS distance FROM near a JOIN near b ON a.idx < b.idx AND bit_count(xor(a.hash, b.hash)) <= {d}"
+
 
+def _near_hashes(spark, sf_dir):
+    h, i = hash_rows(spark, sf_dir), F.col("idx")
+    bit = lambda base, at: F.call_function("shiftleft", F.lit(base).cast("long"), at.cast("int"))
+    f1, f2, f3 = bit(1, i % 62), bit(1, i * 7 % 62).bitwiseXOR(bit(1, (i * 5 + 1) % 62)), bit(15, i * 3 % 58)
+    flips = F.array(F.lit(0).cast("long"), f1, f1.bitwiseXOR(f2), f1.bitwiseXOR(f2).bitwiseXOR(f3))
+    return h.select("idx", "hash", F.posexplode(flips).alias("k", "f")).select((i * 4 + F.col("k")).alias("idx"), F.col("hash").bitwiseXOR(F.col("f")).alias("hash"))
 
-_SMALL = "small AS (SELECT idx, hash & 65535 AS hash FROM hashes)"
+
+@query(f"WITH {_NEAR} {_PAIRS.format(d=5)}")
+def hamming_pairs(spark, sf_dir):
+    return near_hash.near_pairs(_near_hashes(spark, sf_dir), 5, order="idx")
 
 
-@query(f"WITH {SQL['hashes']}, {_SMALL} SELECT a.idx AS a, b.idx AS b, bit_count(xor(a.hash, b.hash))::INT AS distance FROM small a JOIN small b ON a.idx < b.idx AND bit_count(xor(a.hash, b.hash)) <= 1")
-def hamming_pairs_banded(spark, sf_dir):
-    rows = hash_rows(spark, sf_dir).withColumn("hash", F.col("hash").bitwiseAND(F.lit(0xFFFF)))
-    return near_hash.near_pairs(rows, 1, order="idx")
+@query(f"WITH {_NEAR} {_PAIRS.format(d=12)}")
+def hamming_pairs_wide(spark, sf_dir):
+    return near_hash.near_pairs(_near_hashes(spark, sf_dir), 12, order="idx")
 
 
-_FIRST = """WITH RECURSIVE {views}, n AS (SELECT *, row_number() OVER (ORDER BY idx) AS r FROM {rows}),
+_FIRST = """WITH RECURSIVE {views}, n AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY idx) AS r FROM {rows}),
 walk AS (SELECT 0::BIGINT AS r, NULL::BIGINT AS idx, NULL::BIGINT AS hash, TRUE AS kept, {seed} AS state UNION ALL
   SELECT b.r, b.idx, b.hash, ok, CASE WHEN ok THEN list_append(state, b.hash) ELSE state END FROM (
     SELECT n.*, w.state, coalesce(list_min(list_transform(w.state, lambda s: bit_count(xor(s, n.hash)))) > {d}, TRUE) AS ok FROM walk w JOIN n ON n.r = w.r + 1) b)
 SELECT idx AS ord, hash, kept FROM walk WHERE r > 0"""
 
 
-@query(_FIRST.format(views=SQL["hashes"], rows="hashes", seed="[]::BIGINT[]", d=22))
+@query(_FIRST.format(views=_NEAR, rows="near", seed="[]::BIGINT[]", d=5))
 def dedup_greedy(spark, sf_dir):
-    return near_hash.first_wins(hash_rows(spark, sf_dir), 22, order="idx")
+    return near_hash.first_wins(_near_hashes(spark, sf_dir), 5, order="idx")
 
 
-@query(_FIRST.format(views=f"{SQL['hashes']}, {_SMALL}", rows="small", seed="[]::BIGINT[]", d=2))
-def dedup_greedy_banded(spark, sf_dir):
-    rows = hash_rows(spark, sf_dir).withColumn("hash", F.col("hash").bitwiseAND(F.lit(0xFFFF)))
-    return near_hash.first_wins(rows, 2, order="idx")
+@query(_FIRST.format(views=SQL["hashes"], rows="hashes", seed="[]::BIGINT[]", d=16))
+def dedup_greedy_wide(spark, sf_dir):
+    return near_hash.first_wins(hash_rows(spark, sf_dir), 16, order="idx")
 
 
-@query(_FIRST.format(views=SQL["hashes"], rows="(SELECT * FROM hashes WHERE idx % 3 <> 0)", seed="(SELECT list(hash) FROM hashes WHERE idx % 3 = 0)", d=20))
+@query(_FIRST.format(views=_NEAR, rows="(SELECT * FROM near WHERE idx % 3 <> 0)", seed="(SELECT list(hash) FROM near WHERE idx % 3 = 0)", d=5))
 def dedup_cross_run(spark, sf_dir):
-    rows = hash_rows(spark, sf_dir)
-    return near_hash.first_wins(rows.where("idx % 3 <> 0"), 20, order="idx", index=rows.where("idx % 3 = 0"))
+    rows = _near_hashes(spark, sf_dir)
+    return near_hash.first_wins(rows.where("idx % 3 <> 0"), 5, order="idx", index=rows.where("idx % 3 = 0"))
 
 
 @query("SELECT doc_id, doc_id = min(doc_id) OVER (PARTITION BY md5(text)) AS kept FROM documents")
@@ -474,6 +494,40 @@ def full_fold(spark, sf_dir):
     return folds.fold(rows, {"grey": folds.Diverse(0.20, 20), "hist": folds.Colourful(0.40, 15), "hash": folds.Unseen(24)})
 
 
+# --- pixels -------------------------------------------------------------------------------------------
+
+#: Images of 32 x 24 pixels by a rule, with black bars of 0 to 6 rows at the top; grey is that of the measures.
+_PIXELS = """px AS (SELECT p_partkey AS k, x, y, 2 * (p_partkey % 4) AS bar, CASE WHEN y < 2 * (p_partkey % 4) THEN 0 ELSE 40 + (p_partkey * 7 + x * 13 + y * 29) % 200 END AS b,
+  CASE WHEN y < 2 * (p_partkey % 4) THEN 0 ELSE 40 + (p_partkey * 11 + x * 5 + y * 17) % 200 END AS g, CASE WHEN y < 2 * (p_partkey % 4) THEN 0 ELSE 40 + (p_partkey * 3 + x * 23 + y * 7) % 200 END AS r FROM part, range(32) a(x), range(24) c(y)),
+content AS (SELECT *, round_even(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b, 0) AS grey FROM px WHERE bar < 4 OR y >= bar)"""
+
+
+@query(
+    f"""WITH {_PIXELS}, around AS (SELECT *, lag(grey) OVER h AS l, lead(grey) OVER h AS e, lag(grey) OVER v AS u, lead(grey) OVER v AS d FROM content
+      WINDOW h AS (PARTITION BY k, y ORDER BY x), v AS (PARTITION BY k, x ORDER BY y)),
+    lap AS (SELECT k, y, grey, coalesce(l, e) + coalesce(e, l) + coalesce(u, d) + coalesce(d, u) - 4 * grey AS l FROM around)
+    SELECT k AS p_partkey, 0 AS x, min(y)::INT AS y, 32 AS w, (24 - min(y))::INT AS h, round(var_pop(l) + 1e-6, 4) AS blur, round(avg(grey) + 1e-6, 4) AS luma, round(stddev_pop(grey) + 1e-6, 4) AS contrast FROM lap GROUP BY k"""
+)
+def pixel_measures(spark, sf_dir):
+    config = Config(ssim_filter=False, color_diversity=False, dedup=False)
+    m = extract.measured(patterned_frames(spark, sf_dir), config)
+    return m.select(F.col("frame_index").alias("p_partkey"), *"xywh", *(F.round(F.col(c) + 1e-6, 4).alias(c) for c in ("blur", "luma", "contrast")))  # off the ties
+
+
+@query(
+    f"""WITH {_PIXELS}, span AS (SELECT *, greatest(b, g, r)::DOUBLE AS v, greatest(b, g, r) - least(b, g, r) AS s FROM content),
+    hue AS (SELECT k, v, s, CASE WHEN s = 0 THEN 0 WHEN v = r THEN 60.0::DOUBLE * (g - b) / s WHEN v = g THEN 120 + 60.0::DOUBLE * (b - r) / s ELSE 240 + 60.0::DOUBLE * (r - g) / s END AS a FROM span),
+    bins AS (SELECT k, (round_even((CASE WHEN a < 0 THEN a + 360 ELSE a END) / 2, 0)::INT % 180) * 16 // 180 AS h, CASE WHEN v > 0 THEN round_even(255.0::DOUBLE * s / v, 0) ELSE 0 END::INT * 8 // 256 AS c, v::INT * 4 // 256 AS w FROM hue),
+    n AS (SELECT k, h * 32 + c * 4 + w AS bin, count(*) AS n FROM bins GROUP BY ALL)
+    SELECT k AS p_partkey, bin::INT AS bin, round(n / sum(n) OVER (PARTITION BY k), 4) AS share FROM n"""
+)
+def colour_bins(spark, sf_dir):
+    config = Config(ssim_filter=False, dedup=False)
+    m = extract.measured(patterned_frames(spark, sf_dir), config)
+    bins = m.select(F.col("frame_index").alias("p_partkey"), F.posexplode("colours").alias("bin", "share")).where("share > 0")
+    return bins.select("p_partkey", "bin", F.round(F.col("share").cast("double"), 4).alias("share"))
+
+
 # --- reports ------------------------------------------------------------------------------------------
 
 
@@ -624,19 +678,26 @@ def output_naming(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", selection.output_name(stem, F.col("c_custkey") % 300000, "png").alias("name"))
 
 
+@query(
+    """WITH v AS (SELECT c_custkey, '/d' || (c_custkey % 2) || '/' || CASE WHEN c_custkey % 4 = 0 THEN 'Clip' ELSE 'clip' END || (c_custkey % 900) || '.mp4' AS video FROM customer),
+    d AS (SELECT DISTINCT video, regexp_extract(video, '([^/]*)\\.mp4$', 1) AS stem FROM v),
+    s AS (SELECT video, CASE WHEN count(*) OVER (PARTITION BY lower(stem)) > 1 THEN stem || '_' || left(md5(video), 8) ELSE stem END AS stem FROM d)
+    SELECT video, c_custkey, stem || '/' || stem || '_' || printf('%05d', row_number() OVER (PARTITION BY video ORDER BY c_custkey)) || '.png' AS path FROM v JOIN s USING (video)"""
+)
+def unique_paths(spark, sf_dir):
+    """Where the run writes its images: videos of one stem, whatever its case, have a part of their path's digest in theirs."""
+    k = F.col("c_custkey")
+    name = F.concat(F.when(k % 4 == 0, "Clip").otherwise("clip"), (k % 900).cast("string"), F.lit(".mp4"))
+    kept = table(spark, sf_dir, "customer").select(F.concat(F.lit("/d"), (k % 2).cast("string"), F.lit("/"), name).alias("video"), k.alias("frame_index"))
+    return extract.named(kept, kept.select("video").distinct(), Config()).select("video", F.col("frame_index").alias("c_custkey"), "path")
+
+
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'out' WHEN c_custkey % 3 = 1 THEN 'out/10_' || CASE WHEN c_custkey % 2 = 0 THEN 'dataset' ELSE 'my_char' END ELSE 'out/' || c_name END AS folder FROM customer")
 def kohya_dir(spark, sf_dir):
     k = F.col("c_custkey")
     trigger = F.when(k % 2 == 0, " ").otherwise(" my  char ")
-    return table(spark, sf_dir, "customer").select("c_custkey", naming_folder(F.lit("out"), F.col("c_name"), k % 3 != 2, F.when(k % 3 == 1, 10).otherwise(0), trigger).alias("folder"))
-
-
-def naming_folder(root, stem, flatten, repeats, trigger):
-    """Where a video's images go: all together, in a folder for repeats, or in one of their own."""
-    clean = text.collapse(trigger)
-    name = F.when(clean == "", "dataset").otherwise(text.sanitize_stem(clean))
-    sub = F.concat(root, F.lit("/"), repeats.cast("string"), F.lit("_"), name)
-    return F.when(flatten & (repeats > 0), sub).when(flatten, root).otherwise(F.concat(root, F.lit("/"), text.sanitize_stem(stem)))
+    folder = selection.folder(text.sanitize_stem(F.col("c_name")), k % 3 != 2, F.when(k % 3 == 1, 10).otherwise(0), trigger)
+    return table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("out"), F.when(folder == "", "").otherwise(F.concat(F.lit("/"), folder))).alias("folder"))
 
 
 @query(
@@ -691,15 +752,11 @@ def version_compare(spark, sf_dir):
 
 def _streamed(spark: SparkSession, out: DataFrame, name: str) -> DataFrame:
     """What a stream gives for what there is now, by way of a table in the shared folder."""
-    import uuid
-
-    from .storage import shared_folder
+    from .storage import new_folder
 
-    folder = f"{shared_folder(spark)}/stream-{name}-{uuid.uuid4().hex}"
+    folder = new_folder(spark, f"stream-{name}")
     query_ = out.writeStream.format("parquet").option("path", f"{folder}/data").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query_.awaitTermination()
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(out.schema).parquet(f"{folder}/data")
 
 

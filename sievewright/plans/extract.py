@@ -23,30 +23,17 @@ def _image(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
     return a[..., :3] if channels >= 3 else np.repeat(a, 3, 2)
 
 
-def _around(rect: tuple[int, int, int, int], boxes: list[dict]) -> tuple[int, int, int, int]:
-    """geometry.crop_around() of one image, for the pass over pixels."""
-    x, y, w, h = rect
-    x1, y1 = x + w, y + h
-    for b in boxes:
-        cx, cy = b["x"] + b["w"] / 2, b["y"] + b["h"] / 2
-        if w * 0.2 <= cx <= w - w * 0.2 and h * 0.2 <= cy <= h - h * 0.2:
-            continue
-        y, y1 = (max(y, b["y"] + b["h"] + 2), y1) if b["y"] < h * 0.5 else (y, min(y1, b["y"] - 2))
-        x, x1 = (max(x, b["x"] + b["w"] + 2), x1) if b["x"] < w * 0.5 else (x, min(x1, b["x"] - 2))
-    return x, y, max(1, x1 - x), max(1, y1 - y)
-
-
 def measured(frames: DataFrame, config: Config, watermarks: DataFrame | None = None) -> DataFrame:
     """Every measure of every frame in one pass; pixels go no further than this. A frame that can't be measured has an error.
 
-    With watermarks (video, watermarks) and the setting `crop_watermark`, crops leave the overlays out.
+    With watermarks (video, watermarks) and the setting `crop_watermark`, crops leave the overlays out: the content
+    rectangles are found in a pass of their own, geometry.crop_around() cuts them, and the measures are those of what is left.
     """
     names = [c.split()[0] for c in MEASURES.split(", ")]
     schema = pa.schema([(n, k) for n, k in zip(names, [pa.string(), pa.int64(), pa.float64(), *[pa.int32()] * 4, *[pa.float64()] * 5, *[pa.list_(pa.float32())] * 2, pa.int64(), pa.string()], strict=True)])
 
-    def one(image: np.ndarray, boxes: list[dict]) -> dict:
-        rect = kernels.letterbox(image, config.letterbox_threshold, config.letterbox_min_ratio) if config.detect_letterbox else (0, 0, image.shape[1], image.shape[0])
-        x, y, w, h = _around(rect, boxes)
+    def one(image: np.ndarray, rect: dict | None) -> dict:
+        x, y, w, h = (rect[k] for k in "xywh") if rect else _content(image, config)
         part = image[y : y + h, x : x + w]
         grey = kernels.grey(part)
         luma, contrast = kernels.luma_stats(grey)
@@ -55,7 +42,7 @@ def measured(frames: DataFrame, config: Config, watermarks: DataFrame | None = N
         out["subject"] = kernels.subject_ratio(part) if config.subject_size_filter else None
         out["thumb"] = kernels.thumbnail(part).astype(np.float32) if config.ssim_filter else None
         out["colours"] = kernels.colour_fingerprint(part) if config.color_diversity else None
-        bits = kernels.perceptual_hash(part) if config.dedup else None
+        bits = kernels.perceptual_hash(part, config.phash_size) if config.dedup else None
         return out | {"hash": None if bits is None else bits - (bits >> 63 << 64)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,7 +52,7 @@ def measured(frames: DataFrame, config: Config, watermarks: DataFrame | None = N
                 for r in batch.slice(k, 8).to_pylist():
                     row = dict.fromkeys(names) | {n: r[n] for n in ("video", "frame_index", "t")}
                     try:
-                        row |= one(_image(r["data"], r["height"], r["width"], r["channels"]), r.get("watermarks") or [])
+                        row |= one(_image(r["data"], r["height"], r["width"], r["channels"]), r.get("rect"))
                     except (ValueError, TypeError, IndexError) as e:
                         row["error"] = f"{type(e).__name__}: {e}"
                     rows.append(row)
@@ -73,10 +60,38 @@ def measured(frames: DataFrame, config: Config, watermarks: DataFrame | None = N
 
     picked = frames.select("video", "frame_index", "t", "height", "width", "channels", "data")
     if watermarks is not None and config.crop_watermark:
-        picked = picked.join(watermarks.select("video", "watermarks"), "video", "left")
+        rect = F.struct(*(F.col(k).cast("long").alias(k) for k in "xywh"))
+        boxes = F.transform(F.coalesce("watermarks", F.array().cast(watermarks.schema["watermarks"].dataType)), lambda o: F.struct(*(o[k].cast("long").alias(k) for k in "xywh")))
+        cut = contents(frames, config).join(watermarks.select("video", "watermarks"), "video", "left")
+        cut = cut.withColumn("rect", geometry.crop_around(*(rect[k] for k in "xywh"), boxes)).select("video", "frame_index", "rect")
+        picked = picked.join(cut, ["video", "frame_index"], "left")
     return picked.mapInArrow(run, MEASURES)
 
 
+def _content(image: np.ndarray, config: Config) -> tuple[int, int, int, int]:
+    return kernels.letterbox(image, config.letterbox_threshold, config.letterbox_min_ratio) if config.detect_letterbox else (0, 0, image.shape[1], image.shape[0])
+
+
+def contents(frames: DataFrame, config: Config) -> DataFrame:
+    """(video, frame_index, x, y, w, h): what is inside of black bars; frames that can't be read have no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1).to_pylist()[0]
+                try:
+                    rows.append((r["video"], r["frame_index"], *_content(_image(r["data"], r["height"], r["width"], r["channels"]), config)))
+                except (ValueError, TypeError):
+                    continue
+            if rows:
+                kinds = [pa.string(), pa.int64(), *[pa.int32()] * 4]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["video", "frame_index", *"xywh"])
+
+    picked = frames.select("video", "frame_index", "height", "width", "channels", "data")
+    return picked.mapInArrow(run, "video string, frame_index long, x int, y int, w int, h int")
+
+
 def _reasons(rows: DataFrame, config: Config) -> DataFrame:
     threshold = F.lit(config.blur_threshold)
     if config.auto_quality:
@@ -115,8 +130,7 @@ def curated(measures: DataFrame, config: Config, index: DataFrame | None = None,
         rows = rows.withColumns({"bucket_w": long_["new_w"], "bucket_h": long_["new_h"]})
     else:
         sizes = geometry.bucket_sizes(config.resolution, config.min_bucket, config.max_bucket, config.bucket_step)
-        best = geometry.nearest_bucket(F.col("w"), F.col("h"), sizes)
-        rows = rows.withColumn("_b", best).withColumns({"bucket_w": F.col("_b.bucket_w"), "bucket_h": F.col("_b.bucket_h")}).drop("_b")
+        rows = geometry.with_bucket(rows, sizes, keep_all=True)
     small = (F.col("reason") == "") & (F.col("bucket_w") * F.col("bucket_h") < config.min_pixels)
     rows = rows.withColumn("reason", F.when(small, "too small").otherwise(F.col("reason")))
     gated = rows.where("reason = ''")
@@ -132,7 +146,7 @@ def curated(measures: DataFrame, config: Config, index: DataFrame | None = None,
     accepted = gated.drop("reason", "thumb", "colours").join(folded.where("reason = ''").drop("reason"), ["video", "frame_index"])
     if config.dedup:
         ordered = written(_numbered(accepted.select("video", "frame_index", "hash")))
-        wins = near_hash.first_wins(ordered, config.phash_distance, index=index)
+        wins = near_hash.first_wins(ordered, config.phash_distance, index=index, bits=config.phash_size**2)
         lost = ordered.join(wins.where("not kept").select("ord"), "ord").select("video", "frame_index", F.lit("dup").alias("global"))
     else:
         lost = accepted.where("false").select("video", "frame_index", F.lit("dup").alias("global"))
@@ -153,17 +167,20 @@ def curated(measures: DataFrame, config: Config, index: DataFrame | None = None,
     )
     if watermarks is not None:
         stats = stats.join(watermarks, "video", "left")
-    places = stats.select("video").withColumn("_place", F.dense_rank().over(_by_video()) - 1)  # videos are few next to frames
-    numbered = selection.sequence_numbers(decisions.where("kept").join(places, "video"), "_place").drop("_place", "kept", "reason", "error")
-    stem = text.sanitize_stem(text.file_stem(F.col("video")))
-    records = numbered.withColumn("path", _folder(config, stem, selection.output_name(stem, F.col("seq") % 100_000, config.output_format)))
+    records = named(decisions.where("kept"), stats.select("video"), config).drop("kept", "reason", "error")
     return Curated(records, decisions, stats)
 
 
-def _by_video():
-    from pyspark.sql import Window
-
-    return Window.orderBy("video")
+def named(kept: DataFrame, videos: DataFrame, config: Config) -> DataFrame:
+    """Kept frames with `seq` and their `path`, which no other frame has: stems that several of the `videos` share, whatever
+    their case, get eight digits of the md5 of their video's path, and a video's frames are counted without an upper bound."""
+    stems = videos.select("video", text.sanitize_stem(text.file_stem(F.col("video"))).alias("_stem"))
+    shared = stems.groupBy(F.lower("_stem").alias("_low")).agg(F.count("*").alias("_n"))
+    own = F.when(F.col("_n") > 1, F.concat("_stem", F.lit("_"), F.substring(F.md5("video"), 1, 8))).otherwise(F.col("_stem"))
+    stems = stems.join(shared, F.lower("_stem") == F.col("_low")).select("video", own.alias("_stem"))
+    rows = kept.join(selection.places(stems, "video").withColumnRenamed("place", "_place"), "video")
+    path = _folder(config, F.col("_stem"), selection.output_name(F.col("_stem"), F.col("in_video"), config.output_format))
+    return selection.sequence_numbers(rows, "_place").withColumn("path", path).drop("_place", "_stem", "in_video")
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
@@ -173,13 +190,8 @@ def _numbered(rows: DataFrame) -> DataFrame:
 
 
 def _folder(config: Config, stem, name):
-    if not config.flatten_output:
-        return F.concat(stem, F.lit("/"), name)
-    if not config.kohya_repeats:
-        return name
-    trigger = " ".join(config.trigger_word.split())
-    sub = text.sanitize_stem(F.lit(trigger)) if trigger else F.lit("dataset")
-    return F.concat(F.lit(f"{config.kohya_repeats}_"), sub, F.lit("/"), name)
+    folder = selection.folder(stem, F.lit(config.flatten_output), F.lit(config.kohya_repeats), F.lit(config.trigger_word))
+    return F.when(folder == "", name).otherwise(F.concat(folder, F.lit("/"), name))
 
 
 def rendered(records: DataFrame, frames: DataFrame, config: Config, encode: Callable[[np.ndarray], bytes]) -> DataFrame:
@@ -209,7 +221,6 @@ def captured(frames: DataFrame, video: str, frame_index: int, config: Config, se
         long_ = geometry.longest(F.col("w").cast("long"), F.col("h").cast("long"), config.resolution)
         placed = m.withColumns({"bucket_w": long_["new_w"], "bucket_h": long_["new_h"]})
     else:
-        best = geometry.nearest_bucket(F.col("w"), F.col("h"), sizes)
-        placed = m.withColumns({"bucket_w": best["bucket_w"], "bucket_h": best["bucket_h"]})
+        placed = geometry.with_bucket(m, sizes)
     stem = text.sanitize_stem(text.file_stem(F.col("video")))
     return rendered(placed.withColumn("path", F.concat(stem, F.lit(f"_manual_{seq:05d}.{config.output_format}"))), point, config, encode)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .functions import kernels
 from .operators import reports
+from .sources.files import plain_path, read_images
 
 
 def png(image: np.ndarray, level: int = 4) -> bytes:
@@ -62,6 +63,12 @@ def save_files(files: DataFrame, root: str, path: str = "path", content: str = "
     return picked.mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
+def refuse_repeats(records: DataFrame, path: str = "path") -> None:
+    """An error if two records have one path: the second would overwrite the first."""
+    if repeated := records.groupBy(path).count().where("count > 1").select(path).limit(3).collect():
+        raise ValueError(f"several records would be written to {', '.join(r[0] for r in repeated)}")
+
+
 def move_files(moves: DataFrame, root: str, path: str = "path", target: str = "target") -> int:
     """Move files (relative path, relative target) below a root; returns how many. A move that was made before is no error."""
 
@@ -126,6 +133,29 @@ def contact_sheet(images: list[np.ndarray | None], thumb: int = 192, columns: in
     return sheet
 
 
+def sheet_of(images: DataFrame, root: str, thumb: int = 192, most: int = 200) -> np.ndarray | None:
+    """contact_sheet() of the first `most` images (path below `root`), by path; made small where they are read."""
+    first = [r.path for r in images.select("path").orderBy("path").limit(most).collect()]
+    if not first:
+        return None
+
+    def run(parts: Iterator) -> Iterator:
+        import pandas as pd
+
+        for part in parts:
+            rows = []
+            for r in part.itertuples():
+                image = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.channels)[..., : 3 if r.channels >= 3 else 1]
+                scale = min(1.0, thumb / max(r.height, r.width))
+                small = kernels.area_resize(image, max(1, int(r.width * scale)), max(1, int(r.height * scale)))
+                rows.append((r.path, *small.shape, small.tobytes()))
+            yield pd.DataFrame(rows, columns=["path", "h", "w", "c", "data"])
+
+    read = read_images(images.sparkSession, [f"{root.rstrip('/')}/{p}" for p in first]).mapInPandas(run, "path string, h int, w int, c int, data binary")
+    small = {r.path: np.frombuffer(r.data, np.uint8).reshape(r.h, r.w, r.c) for r in read.collect()}
+    return contact_sheet([next((im for at, im in small.items() if at.endswith(f"/{p}")), None) for p in first], thumb, most=most)
+
+
 def _table(head: list[str], rows: list[list]) -> str:
     line = lambda tag, cells: "<tr>" + "".join(f"<{tag}>{html.escape(str(c))}</{tag}>" for c in cells) + "</tr>"
     return f"<table><thead>{line('th', head)}</thead><tbody>{''.join(line('td', r) for r in rows)}</tbody></table>"
@@ -158,8 +188,39 @@ def report_html(stats: DataFrame, records: DataFrame, tags: DataFrame | None = N
     return f"<!DOCTYPE html><html lang='en'><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>{''.join(parts)}</body></html>"
 
 
-def gallery_html(cards: list[tuple[str, str]], title: str = "Gallery") -> str:
-    """A page of (relative path, hover text); the path's stem is shown."""
+def gallery_html(cards: list[tuple[str, str]], title: str = "Gallery", links: list[str] | None = None) -> str:
+    """A page of (relative path, hover text); the path's stem is shown. links: other pages."""
     stem = lambda p: p.rpartition("/")[2].rpartition(".")[0] or p
     rows = (f"<figure title='{html.escape(hover)}'><img loading='lazy' src='{html.escape(path)}' alt='{html.escape(stem(path))}'><figcaption>{html.escape(stem(path))}</figcaption></figure>" for path, hover in cards)
-    return f"<!DOCTYPE html><html lang='en'><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1><p>{len(cards)} images</p>{''.join(rows)}</body></html>"
+    others = "".join(f"<p><a href='{html.escape(a)}'>{html.escape(a)}</a></p>" for a in links or ())
+    return f"<!DOCTYPE html><html lang='en'><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1><p>{len(cards)} images</p>{''.join(rows)}{others}</body></html>"
+
+
+def caption_tokens(images: DataFrame, root: str) -> DataFrame:
+    """(path, tokens) of the captions beside the images (path below `root`)."""
+    texts = images.sparkSession.read.text(f"{root.rstrip('/')}", wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt").select(plain_path(F.col("_metadata.file_path")).alias("at"), "value")
+    below = F.expr(f"substring(at, {len(root.rstrip('/')) + 2})")
+    tokens = F.split(F.regexp_replace("value", r"\s+$", ""), ", ")
+    named = texts.select(F.regexp_replace(below, r"\.[^./]*$", "").alias("_stem"), tokens.alias("tokens"))
+    return images.select("path").join(named, F.regexp_replace("path", r"\.[^./]*$", "") == F.col("_stem")).select("path", "tokens")
+
+
+def gallery_pages(cards: DataFrame, per_page: int = 1000) -> DataFrame:
+    """(path, content) of gallery pages of (path, hover): `_gallery.html`, `_gallery_2.html`, ..., about `per_page` images each, by path.
+
+    Each page is made where its rows are; links lead from one to the next.
+    """
+    n = max(1, -(-cards.count() // per_page))
+    name = lambda k: "_gallery.html" if k == 0 else f"_gallery_{k + 1}.html"
+
+    def run(parts: Iterator) -> Iterator:
+        import pandas as pd
+        from pyspark import TaskContext
+
+        rows = [(r.path, r.hover) for part in parts for r in part.itertuples()]
+        k = TaskContext.get().partitionId()
+        links = [name(j) for j in (k - 1, k + 1) if 0 <= j < n]
+        if rows or k == 0:
+            yield pd.DataFrame({"path": [name(k)], "content": [gallery_html(rows, links=links).encode()]})
+
+    return cards.select("path", "hover").repartitionByRange(n, "path").sortWithinPartitions("path").mapInPandas(run, "path string, content binary")

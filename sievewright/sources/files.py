@@ -46,7 +46,7 @@ def collect_images(spark: SparkSession, folder: str, rejected: str = "_rejected"
     return files.where(~file_name(F.col("path")).startswith("_") & ~F.col("path").contains(f"/{rejected}/"))
 
 
-def read_images(spark: SparkSession, folder: str) -> DataFrame:
+def read_images(spark: SparkSession, folder: str | list[str]) -> DataFrame:
     """(path, height, width, channels, data): decoded by the JVM, blue green red; what can't be decoded is left out."""
     images = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "true").load(folder)
     return images.select(plain_path(F.col("image.origin")).alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))

@@ -32,7 +32,12 @@ def segment_column(spec: Column) -> Column:
 
 
 def segments(spark, specs: list[str]) -> DataFrame:
-    rows = [(v, a, b) for v, spans in parse_segments(specs).items() for a, b in spans]
+    return spans(spark, parse_segments(specs))
+
+
+def spans(spark, by_name: dict[str, list]) -> DataFrame:
+    """(video, start, stop) of a setting that names each video's spans."""
+    rows = [(v, float(a), float(b)) for v, some in by_name.items() for a, b in some]
     return spark.createDataFrame(rows, "video string, start double, stop double")
 
 

@@ -27,8 +27,9 @@ def test_dry_run_layers(spark, capsys, tmp_path):
 
 def test_extract(spark, capsys, tmp_path):
     sizes = [s for n in ("resolution=256", "min_bucket=64", "max_bucket=256", "min_pixels=1000", "min_per_video=0") for s in ("--set", n)]
-    cli.main(["extract", *sizes, "--segment", "clip.mp4:0-0.7", "--decoder", "frames_for_tests:decode", str(tmp_path / "out"), "clip.mp4"])
+    cli.main(["extract", *sizes, "--set", "sampling=interval", "--set", "interval_seconds=0.1", "--segment", "clip.mp4:0-0.7", "--decoder", "frames_for_tests:decode", str(tmp_path / "out"), "clip.mp4"])
     assert json.loads(capsys.readouterr().out)["written"] == 4
+    assert (tmp_path / "out/_gallery.html").read_text().count("<figure") == 4 and (tmp_path / "out/_contact_sheet.png").exists()
     assert len(list((tmp_path / "out/clip").glob("*.png"))) == 4 and (tmp_path / "out/_report.html").exists()
     assert json.loads((tmp_path / "out/clip.mp4/_stats.json").read_text())["written"] == 4
 

@@ -190,16 +190,35 @@ def test_overlays_are_found_and_cropped(spark):
     assert rects["plain.mp4"] == (0, 0, 426, 240) and rects["logo.mp4"][1] == box.y + box.h + 2 and rects["logo.mp4"][2] == box.x - 2
     done = extract.curated(extract.measured(both, config, found), config, watermarks=found)
     assert "top-right" in sinks.report_html(done.stats, done.records)
-    assert extract._around((0, 0, 100, 100), [{"x": 45, "y": 45, "w": 10, "h": 10}]) == (0, 0, 100, 100)
 
 
-def test_python_and_column_crops_agree(spark):
-    rng = np.random.default_rng(1)
-    rows = [([tuple(int(v) for v in (rng.integers(0, 900), rng.integers(0, 900), rng.integers(5, 100), rng.integers(5, 100))) for _ in range(rng.integers(0, 4))],) for _ in range(60)]
-    zero, side = F.lit(0).cast("long"), F.lit(1000).cast("long")
-    frame = spark.createDataFrame(rows, "o array<struct<x:bigint,y:bigint,w:bigint,h:bigint>>")
-    got = [tuple(r[0]) for r in frame.select(geometry.crop_around(zero, zero, side, side, F.col("o"))).collect()]
-    assert got == [extract._around((0, 0, 1000, 1000), [dict(zip("xywh", b, strict=True)) for b in o]) for (o,) in rows]
+def test_paths_are_unique(frames, spark):
+    """Videos of one stem in different folders, of stems that become one, and a video of more frames than a number has digits."""
+    base = frames.where("video = 'clip 0.mp4' and frame_index < 4")
+    names = ["/a/clip.mp4", "/b/clip.mp4", "/b/clip.mkv", "/c/Clip?.mp4", "/d/other.mp4"]
+    several = [base.withColumns({"video": F.lit(n), "frame_index": F.col("frame_index") + (199_990 if n.startswith("/d") else 0)}) for n in names]
+    every = several[0]
+    for one in several[1:]:
+        every = every.unionByName(one)
+    for layout in ({}, {"flatten_output": True}, {"flatten_output": True, "kohya_repeats": 3}):
+        config = Config.layered(SETTINGS, {"dedup": False, "ssim_filter": False, "color_diversity": False}, layout)
+        records = extract.curated(extract.measured(every, config), config).records
+        paths = [r.path for r in records.collect()]
+        assert len(paths) == len(set(map(str.lower, paths))) == 20
+        sinks.refuse_repeats(records)
+        assert sum(p.rpartition("/")[2].startswith("other_0") for p in paths) == 4
+    with pytest.raises(ValueError, match="twice.png"):
+        sinks.refuse_repeats(spark.createDataFrame([("twice.png",), ("twice.png",), ("once.png",)], "path string"))
+
+
+def test_numbers_go_on_past_five_digits(spark):
+    from sievewright.operators import selection
+
+    rows = spark.range(100_002).select(F.lit("v").alias("video"), F.col("id").alias("frame_index"), F.lit(3).alias("p"))
+    names = selection.sequence_numbers(rows, "p").select(selection.output_name(F.lit("v"), F.col("in_video"), "png").alias("n"))
+    assert names.distinct().count() == 100_002
+    some = spark.createDataFrame([(f"v{i:03d}",) for i in range(50)], "video string").repartition(5)
+    assert [r.place for r in selection.places(some, "video").orderBy("video").collect()] == list(range(50))
 
 
 def test_moving_files(spark, tmp_path):

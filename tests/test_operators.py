@@ -157,8 +157,7 @@ def slow_first_wins(rows, distance, index=()):
 
 
 @pytest.mark.parametrize("distance", [0, 1, 3, 5, 14])
-def test_pairs_and_first_wins(spark, distance, monkeypatch):
-    monkeypatch.setattr(near_hash, "BLOCK", 40)
+def test_pairs_and_first_wins(spark, distance):
     rng = random.Random(distance)
     seeds = [rng.getrandbits(64) for _ in range(12)]
     hashes = [s ^ sum({1 << rng.randrange(64) for _ in range(rng.randrange(distance + 3))}) for s in seeds for _ in range(10)]
@@ -167,19 +166,44 @@ def test_pairs_and_first_wins(spark, distance, monkeypatch):
     signed = lambda n: n - (n >> 63 << 64)
     frame = spark.createDataFrame([(i, signed(h)) for i, h in enumerate(hashes)], "ord long, hash long").repartition(3)
     want = {(i, j, (hashes[i] ^ hashes[j]).bit_count()) for i in range(len(hashes)) for j in range(i + 1, len(hashes)) if (hashes[i] ^ hashes[j]).bit_count() <= distance}
-    assert {tuple(r) for r in near_hash.near_pairs(frame, distance).collect()} == want
+    for m in {None, 1 if distance < 3 else 4, distance // 2 + 1, distance + 1}:
+        pairs = [tuple(r) for r in near_hash.near_pairs(frame, distance, segments=m).collect()]
+        assert set(pairs) == want and len(pairs) == len(want)
     got = [r.kept for r in near_hash.first_wins(frame, distance).orderBy("ord").collect()]
     assert got == slow_first_wins(list(enumerate(hashes)), distance)
+    got = [r.kept for r in near_hash.first_wins(frame, distance, local=4).orderBy("ord").collect()]  # components, and rounds in the larger ones
+    assert got == slow_first_wins(list(enumerate(hashes)), distance)
     known = hashes[:20]
     index = spark.createDataFrame([(signed(h),) for h in known], "hash long")
     got = [r.kept for r in near_hash.first_wins(frame.where("ord >= 20"), distance, index=index).orderBy("ord").collect()]
     assert got == slow_first_wins(list(enumerate(hashes))[20:], distance, known)
 
 
-def test_bands_cover_all_bits():
-    for d in range(12):
-        bands = near_hash.bands(d)
-        assert len(bands) == d + 1 and sum(mask << shift for shift, mask in bands) == 2**64 - 1
+def test_segments_cover_all_bits():
+    for bits in (16, 36, 64):
+        for m in range(1, 13):
+            cuts = near_hash.cuts(m, bits)
+            assert len(cuts) == m and sum(((1 << w) - 1) << shift for shift, w in cuts) == 2**bits - 1
+
+
+def test_segments_grow_longer_with_the_rows():
+    few, many = near_hash.plan(1000, 5), near_hash.plan(10**9, 5)
+    assert few == 6 and many == 2  # 32 bits, of which two may differ
+    for n, d in ((10**3, 20), (10**6, 11), (10**3, 64)):
+        assert 1 <= near_hash.plan(n, d) <= 64
+
+
+def test_long_chains_are_decided_at_once(spark):
+    """Each row is near to the next one only: every second one stays, and no round is needed for each."""
+    n = 3000
+    code = lambda i: sum(1 << (k % 64) for k in range(i, i + 32))
+    signed = lambda x: x - (x >> 63 << 64)
+    rows = [(i, signed(code(i % 64) if i < 30 else code(i % 64))) for i in range(30)]
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n)], "a long, b long")
+    assert sorted(r.ord for r in near_hash._losers(edges).collect()) == list(range(1, n + 1, 2))
+    frame = spark.createDataFrame(rows, "ord long, hash long")
+    got = [r.kept for r in near_hash.first_wins(frame, 2).orderBy("ord").collect()]
+    assert got == slow_first_wins([(i, h & 2**64 - 1) for i, h in rows], 2)
 
 
 # --- tags ---
