@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.storage import checkpointed, written
+from ..plans.storage import apart, checkpointed, written
 from .memo import forget
 
 __all__ = ["apart", "checkpointed", "column_names", "columns", "table", "words_of", "written"]
@@ -39,12 +39,3 @@ def words_of(text: str | None) -> list[bytes]:
 def column_names(df: DataFrame, **wanted: str) -> list[Column]:
     """Only the wanted columns, under the operator's own names; whatever else `df` has stays out of its way."""
     return [F.col(f"`{source}`").alias(name) for name, source in wanted.items()]
-
-
-def apart(name: str) -> Column:
-    """A long key as an expression that hides from the planner how its rows are partitioned.
-
-    The planner then exchanges both sides of a join on it, and only then can adaptive execution
-    split the partition of a hot key.
-    """
-    return F.col(name).bitwiseXOR(F.lit(0).cast("long")).alias(name)

@@ -7,15 +7,20 @@ part's word shingles: the part's own score less what its heaviest words could ta
 item's shingles is in one part, so an item of which `least` is held has a part of which `least` is held.
 Parts only retrieve: what counts is the whole item, its question and its answer, held against the words around the place.
 
-Queries run a batch at a time over arrays. As in WAND, a query's words of least weight that can't reach
-`free` together are left out of the first step; blocks of parts whose block maxima, with the
-words left out at their most, stay under the bound are skipped; only in the blocks that remain are
-postings read and scores added up.
+Most passages can reach no part: over the arrays of a batch, block maxima alone tell which passages have a block in which
+they could (its words of least weight, which can't reach `free` together, count at their most). Each of these
+few passages goes through its words' postings by WAND: cursors in the order of their current parts, the
+pivot where their maxima first reach the bound, the pivot's block maxima before any score, and, if these stay under the bound, a leap
+beyond the block.
+
+Items beyond SHARD_BYTES are indexed in shards. A shard is a pass over the documents that writes down its hits, so that
+one index at a time is with the driver and the workers.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_names, columns
+from .common import column_names, columns, written
 
 WIDTH, LEAST, SIDE = 5, 0.8, 0.5
 PART, STEP = 64, 64
@@ -137,7 +142,7 @@ class Index:
         start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
         self.block_key = key[start]
         self.block_most = np.maximum.reduceat(self.score, start) if len(key) else np.empty(0)
-        self.block_from, self.block_to = start, np.append(start[1:], len(key))
+        self.block_bound = dict(zip(self.block_key.tolist(), self.block_most.tolist(), strict=True))
         self.block_first = np.searchsorted(self.block_key, np.arange(len(words) + 1) * self.blocks)
 
     def retrieve(self, passage: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,23 +167,55 @@ class Index:
         cell = owner[at][which] * self.blocks + self.block_key[posting] % self.blocks
         cells, where = np.unique(cell, return_inverse=True)
         bound = np.bincount(where, self.block_most[posting], len(cells)) + left_out[cells // self.blocks]
-        cells = cells[bound >= 1 - 1e-6]
-        if not len(cells):
-            return none
-        query, block = np.divmod(cells, self.blocks)
-        which, pair = expanded(begin[query], begin[query] + size[query])
-        wanted = word[pair] * self.blocks + block[which]
-        found = np.searchsorted(self.block_key, wanted)
-        found = np.minimum(found, len(self.block_key) - 1)
-        held = self.block_key[found] == wanted
-        which, found = which[held], found[held]
-        sub, posting = expanded(self.block_from[found], self.block_to[found])
-        hit = query[which[sub]] * len(self.parts) + self.part[posting]
-        hits, where = np.unique(hit, return_inverse=True)
-        score = np.bincount(where, self.score[posting], len(hits))
-        good = score >= 1 - 1e-9
-        query, part = np.divmod(hits[good], len(self.parts))
-        return passage[begin[query]], part, score[good]
+        live = np.unique(cells[bound >= 1 - 1e-6] // self.blocks)
+        out: list[tuple[int, int, float]] = []
+        for q in live.tolist():
+            out += ((int(passage[begin[q]]), part, score) for part, score in self.wand(word[begin[q] : begin[q] + size[q]].tolist()))
+        return tuple(np.array(c, k) for c, k in zip(zip(*out, strict=True), (np.int64, np.int64, float), strict=True)) if out else none
+
+    def wand(self, words: list[int], bound: float = 1.0) -> list[tuple[int, float]]:
+        """(part, score) of every part that the query of these different words scores `bound` or more, by block-max WAND."""
+        near, sure = bound - 1e-6, bound - 1e-9
+        most = self.most[words].tolist()
+        parts = [self.part[self.first[w] : self.first[w + 1]].tolist() for w in words]
+        scores = [self.score[self.first[w] : self.first[w + 1]].tolist() for w in words]
+        at = [0] * len(words)
+        order = sorted((p[0], t) for t, p in enumerate(parts))  # (current part, term) of each cursor that isn't at its end
+        out = []
+
+        def move(n: int, to: int) -> None:
+            """The first n cursors to the first part from `to` on."""
+            moved = []
+            for _, t in order[:n]:
+                at[t] = bisect_left(parts[t], to, at[t])
+                if at[t] < len(parts[t]):
+                    moved.append((parts[t][at[t]], t))
+            order[:n] = moved
+            order.sort()
+
+        while order:
+            reach, n = 0.0, 0
+            for _, t in order:
+                reach += most[t]
+                n += 1
+                if reach >= near:
+                    break
+            else:
+                return out  # all that is left can't reach the bound
+            pivot = order[n - 1][0]
+            while n < len(order) and order[n][0] == pivot:
+                n += 1
+            block = pivot // self.block
+            if sum(self.block_bound.get(words[t] * self.blocks + block, 0.0) for _, t in order[:n]) < near:
+                move(n, min((block + 1) * self.block, order[n][0] if n < len(order) else (block + 1) * self.block))
+            elif order[0][0] == pivot:
+                score = sum(scores[t][at[t]] for _, t in order[:n])
+                if score >= sure:
+                    out.append((pivot, score))
+                move(n, pivot + 1)
+            else:
+                move(n, pivot)
+        return out
 
 
 def matches(texts: list[str | None], index: Index, least: float = LEAST, side: float = SIDE, whole: bool = False) -> list[dict[int, float]]:
@@ -209,52 +246,88 @@ def matches(texts: list[str | None], index: Index, least: float = LEAST, side: f
     return out
 
 
-def _shards(benchmark: DataFrame, shard_bytes: int) -> Iterator[Index]:
-    """Indexes of the items, each of a bounded size: items are dealt by a hash of their id into as many shards as their bytes ask for."""
+def _shards(benchmark: DataFrame, shard_bytes: int) -> tuple[int, Iterator[Index]]:
+    """(number, indexes) of the items, each of a bounded size: items are dealt by a hash of their id into as many shards as their bytes ask for."""
     total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = -(-total // shard_bytes)
-    for k in range(shards):
-        own = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k).where("item_id is not null")
-        rows = sorted((r.item_id, r.text) for r in own.where("text is not null").distinct().toLocalIterator())
-        yield Index([p for item, text in rows for p in parts_of(item, text)])
 
+    def indexes() -> Iterator[Index]:
+        for k in range(shards):
+            own = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k).where("item_id is not null")
+            rows = sorted((r.item_id, r.text) for r in own.where("text is not null").distinct().toLocalIterator())
+            yield Index([p for item, text in rows for p in parts_of(item, text)])
+
+    return shards, indexes()
+
+
+def _items(benchmark: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
+    return benchmark.select(*column_names(benchmark, item_id=item_col, text=item_text_col)).withColumn("item_id", F.col("item_id").cast("long"))
+
+
+def hits(docs: DataFrame, index: Index) -> DataFrame:
+    """(doc_id, text_hash, item, overlap) of the items that are found in the texts of `docs` (doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, hashes, texts in columns(batches, "doc_id", "text_hash", "text"):
+            rows = [(d, h, i, s) for d, h, found in zip(ids, hashes, matches(texts, index, whole=True), strict=True) for i, s in found.items()]
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "text_hash", "item", "overlap"])
+
+    return docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, item long, overlap double")
+
+
+def _all_hits(docs: DataFrame, indexes: Iterator[Index]) -> DataFrame:
+    """hits() of every shard, a pass each; the same text of the same doc_id counts once."""
+    found = None
+    for index in indexes:
+        some = written(hits(docs, index))
+        found = some if found is None else found.unionByName(some)
+    return found.distinct()
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_bytes: int = SHARD_BYTES, keep: bool = False) -> DataFrame:
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, n_items long, items string: 'item:overlap' by item, comma-joined, contaminated boolean), a row for each row of `docs`.
 
     An item is found in a document if LEAST of its word shingles, and SIDE of its question's and of its
     answer's, are around one place. `overlap` is the largest of its parts'. Null and empty texts hold no item; null
-    and empty items are in no document; repeated rows of either side change nothing. With `keep`
-    the text goes along, as a column `text`.
+    and empty items are in no document; repeated rows of either side change nothing.
     """
     picked = docs.select(*column_names(docs, doc_id=id_col, text=text_col)).withColumn("doc_id", F.col("doc_id").cast("long"))
-    items = benchmark.select(*column_names(benchmark, item_id=item_col, text=item_text_col)).withColumn("item_id", F.col("item_id").cast("long"))
-    found = picked.withColumn("found", F.lit(""))
-    for index in _shards(items, shard_bytes):
-        found = found.mapInArrow(_runner(index), "doc_id long, text string, found string")
-    n = F.size(F.filter(F.split("found", ","), lambda x: x != "")).cast("long")
-    out = found.select("doc_id", *(["text"] if keep else []), n.alias("n_items"), F.col("found").alias("items"))
-    return out.withColumn("contaminated", F.col("n_items") > 0)
+    shards, indexes = _shards(_items(benchmark, item_col, item_text_col), shard_bytes)
+    if shards == 1:
+        found = picked.mapInArrow(_runner(next(indexes)), "doc_id long, items string")
+    elif shards:
+        keys = [F.col("doc_id").eqNullSafe(F.col("_d")), F.col("text_hash") == F.col("_h")]
+        line = F.struct("item", F.format_string("%d:%.4f", "item", "overlap").alias("text"))
+        listed = _all_hits(picked, indexes).groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).agg(F.array_sort(F.collect_list(line)).alias("_l"))
+        rows = picked.select("doc_id", F.xxhash64("text").alias("text_hash")).join(listed, keys[0] & keys[1], "left")
+        found = rows.select("doc_id", F.coalesce(F.array_join(F.col("_l.text"), ","), F.lit("")).alias("items"))
+    else:
+        found = picked.select("doc_id", F.lit("").alias("items"))
+    n = F.size(F.filter(F.split("items", ","), lambda x: x != "")).cast("long")
+    return found.select("doc_id", n.alias("n_items"), "items").withColumn("contaminated", F.col("n_items") > 0)
 
 
 def _runner(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts, before in columns(batches, "doc_id", "text", "found"):
-            found = []
-            for old, new in zip(before, matches(texts, index, whole=True), strict=True):
-                all_ = [*(x for x in old.split(",") if x), *(f"{i}:{s:.4f}" for i, s in new.items())]
-                found.append(",".join(sorted(all_, key=lambda x: int(x.split(":")[0]))))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(found, pa.string())], ["doc_id", "text", "found"])
+        for ids, texts in columns(batches, "doc_id", "text"):
+            found = [",".join(f"{i}:{s:.4f}" for i, s in sorted(m.items())) for m in matches(texts, index, whole=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], ["doc_id", "items"])
 
     return run
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """The rows of `docs` in whose text no test item is found, with all of their columns; null texts hold none."""
-    items = benchmark.select(*column_names(benchmark, item_id=item_col, text=item_text_col)).withColumn("item_id", F.col("item_id").cast("long"))
+    """The rows of `docs` in whose text no test item is found, with all of their columns; null texts hold none.
+
+    With several shards, a pass for each, and what is left is written in between.
+    """
     kept, schema = docs.select(*(F.col(f"`{n}`") for n in docs.columns)), docs.schema
-    for index in _shards(items, shard_bytes):
+    shards, indexes = _shards(_items(benchmark, item_col, item_text_col), shard_bytes)
+    for k, index in enumerate(indexes):
         kept = kept.mapInArrow(_filter(index, text_col), schema)
+        kept = written(kept) if k + 1 < shards else kept
     return kept
 
 

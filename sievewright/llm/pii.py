@@ -268,8 +268,28 @@ def labelled_rows(n: int = ROWS, seed: int = 11) -> list[tuple[list[str], list[s
     return rows
 
 
+def tagged(text: str, spans: list[tuple[int, str, int]]) -> tuple[list[str], list[str]]:
+    """(words, tags) of a text with labelled spans (start, kind, end); a word belongs to the span that it touches first."""
+    words = list(_WORD.finditer(text))
+    tags = ["O"] * len(words)
+    for start, kind, end in spans:
+        inside = [i for i, m in enumerate(words) if m.start() < end and m.end() > start and tags[i] == "O"]
+        for k, i in enumerate(inside):
+            tags[i] = f"{'I' if k else 'B'}-{kind}"
+    return [m[0] for m in words], tags
+
+
+def train(table: DataFrame, text_col: str = "text", spans_col: str = "spans", rows: int = ROWS) -> RandomField:
+    """A random field from a labelled table (text, spans array<struct<start, kind, stop>>): of its rows the `rows` with the smallest
+    hashes of their texts, which come to the driver; rows without a text teach nothing."""
+    picked = table.select(*column_names(table, text=text_col, spans=spans_col)).where("text is not null")
+    some = picked.orderBy(F.xxhash64("text"), "text").limit(rows).collect()
+    return RandomField.train([tagged(r.text, [(x.start, x.kind, x.stop) for x in r.spans or []]) for r in some])
+
+
 @lru_cache(maxsize=1)
 def default_model() -> RandomField:
+    """Trained on the table that labelled_rows() makes; train() is for a table of one's own."""
     return RandomField.train(labelled_rows())
 
 
@@ -385,7 +405,7 @@ def mask(docs: DataFrame, model: RandomField | None = None, text_col: str = "tex
             yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
 
     masked = docs.select(*(F.col(f"`{n}`") for n in docs.columns)).mapInArrow(run, schema)
-    return masked.withColumn(chars_col, F.length(text_col).cast(schema[chars_col].dataType)) if chars_col else masked
+    return masked.withColumn(chars_col, F.length(F.col(f"`{text_col}`")).cast(schema[chars_col].dataType)) if chars_col else masked
 
 
 def digests(found: DataFrame) -> DataFrame:

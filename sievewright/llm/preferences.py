@@ -64,10 +64,13 @@ def format_pairs(pairs: DataFrame, id_col: str = "pair_id", chosen_col: str = "c
 
 
 def assembled(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(conv_id, turns array<struct<turn, role, text>>) by turn, then role, then text; rows without conv_id belong to no conversation."""
-    own = F.struct(*(F.col(f"`{c}`").alias(n) for c, n in ((turn_col, "turn"), (role_col, "role"), (text_col, "text"))))
-    named = turns.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("conv_id"), own.alias("t"))
-    return named.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    """(conv_id, turns array<struct<turn, role, text>>) by turn, then role, then text, nulls last in each; rows without conv_id belong
+    to no conversation, and repeated rows are turns of their own."""
+    own = {n: F.col(f"`{c}`") for c, n in ((turn_col, "turn"), (role_col, "role"), (text_col, "text"))}
+    order = F.struct(*(x for n, c in own.items() for x in (c.isNull().alias(f"no_{n}"), c.alias(n))))  # false comes before true
+    named = turns.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("conv_id"), order.alias("t"))
+    sorted_ = F.array_sort(F.collect_list("t"))
+    return named.groupBy("conv_id").agg(F.transform(sorted_, lambda t: t.dropFields(*(f"no_{n}" for n in own))).alias("turns"))
 
 
 def swapped_replies(conversations: DataFrame) -> DataFrame:

@@ -9,13 +9,7 @@ from . import bpe, cross_entropy, decontaminate, pii, preferences, simhash, sket
 from .common import table
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows: they hold whole texts, in each worker and twice on the way to it."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return table(spark, sf_dir, "documents")
 
 

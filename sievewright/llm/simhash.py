@@ -22,8 +22,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.components import connected
 from .common import apart, checkpointed, column_names, columns
-from .components import connected
 
 SEGMENTS, BITS, LIMIT = 4, 16, 3
 #: Rows of a bucket that share a cell, and from which number of blocks on the cells grow too.
@@ -161,13 +161,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose id is their component's smallest; of rows that repeat this id, one.
+    """The rows of `docs` whose id is their component's smallest; of rows that repeat this id, the one whose text has the smallest hash.
 
-    Rows with a null id stay: nothing says which of them are the same document.
+    Rows with a null id stay: nothing says which of them are the same document. `docs` may have columns of any names.
     """
-    name = F.col(f"`{id_col}`")
-    groups = near_duplicates(docs, id_col, text_col)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    stay = docs.where(name.isNotNull()).join(gone, name == F.col("_gone"), "left_anti")
-    order = Window.partitionBy(name).orderBy(F.xxhash64(F.col(f"`{text_col}`")))
-    return stay.withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row").unionByName(docs.where(name.isNull()))
+    picked = docs.select(*column_names(docs, doc_id=id_col, text=text_col)).where("doc_id is not null")
+    groups = near_duplicates(picked)
+    stay = groups.where("doc_id = component_id").select("doc_id").distinct()
+    # whole rows go along as one struct: their names meet no others
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    held = docs.select(row.alias("row"), F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("tie"))
+    named = held.where("doc_id is not null").join(stay, "doc_id", "left_semi")
+    first = named.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("tie"))).where("place = 1")
+    return first.select("row").unionByName(held.where("doc_id is null").select("row")).select("row.*")

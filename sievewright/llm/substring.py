@@ -1,32 +1,34 @@
-"""Substring dedup: sparse suffix trees over prefix-partitioned groups of suffixes.
-
-Every word window of `length` words is the first part of a suffix. Suffixes are dealt into groups by
-a prefix key: the lightest `gram`-word sequence (under a hash) inside the suffix's first `length` words,
-its anchor. Equal windows have equal anchors at equal offsets, so no repeat crosses groups, and a group
-whose anchor is found in one document only has no repeat and is never built. Consecutive suffixes mostly
-share an anchor: a group gets one segment of text for all of them, not one copy for each.
-
-Anchors that occur more than `heavy` times would make groups too large for a task. Such a group is dealt into
-blocks of documents with a tree each. A block's tree settles all suffixes but those of the smallest document of
-each node; their prefix is lengthened to all `length` words, and what then still shares a prefix over
-blocks is one deep node, for which only the smallest doc_id counts: a minimum over one row for each
-block and node, however many documents share it.
-
-A group's tree is an enhanced suffix array: ranks by doubling (lengths 1, 2, 4, ... words), the
-suffixes in their order, and the lengths of common prefixes of neighbours, found by descending over the
-ranks. Runs with common prefixes of `length` words or more are the deep internal nodes; merged over
-neighbouring suffixes, their occurrences are the repeated passages.
+"""Substring dedup: suffix trees over groups of suffixes that share a prefix, as long a prefix as memory asks for.
+
+The suffixes are sparse: of each word window of `length` words the `gram`-word sequence that is lightest under a hash,
+its anchor, begins one. Equal windows have equal anchors at equal offsets, so a repeat of `length` words has an anchor in both places
+and no repeat crosses groups. A suffix comes with the words before it that its windows reach back to: one
+segment of text for all windows of one anchor, not one for each.
+
+The first prefix is the anchor itself. A group that is found in one document only has no repeat and is never built. A
+group of over `heavy` segments is too large for a task: its prefix is doubled, until it is light or its prefix is a whole
+window. As the longer prefix must lie in the window, it begins at the anchor or a fixed number of words before it, by
+the anchor's offset; so equal windows still go the same way. Of a window that is still heavy nothing is left to compare:
+it is one deep node, of which only the smallest doc_id counts, a minimum with map-side combine.
+
+A group's tree is an enhanced suffix array: ranks by doubling (lengths 1, 2, 4, ... words), the suffixes in
+their order, and the words that neighbours share, up to the ends of their segments, found by descending over the
+ranks. Nodes that share `length` words or more are the deep ones. What their suffixes share is a repeat; merged along
+their documents, repeats are the maximal passages that a document has from another.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import apart, column_names, columns, words_of, written
@@ -46,11 +48,11 @@ def _gram_hashes(words: list[bytes], gram: int) -> np.ndarray:
     return h
 
 
-def anchors(words: list[bytes], length: int = LENGTH, gram: int = GRAM, at_once: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of a document's windows, in order: hash, first and last window that have it."""
+def anchors(words: list[bytes], length: int = LENGTH, gram: int = GRAM, at_once: int = 1 << 18) -> tuple[np.ndarray, ...]:
+    """Anchors of a document's windows, in order: hash, first and last window that have it, and its own place."""
     none = np.empty(0, np.int64)
     if len(words) < length:
-        return none, none, none
+        return none, none, none, none
     hashes, span = _gram_hashes(words, gram), length - gram + 1
     windows, at = len(words) - length + 1, []
     low = np.uint64((1 << 20) - 1)
@@ -67,116 +69,231 @@ def anchors(words: list[bytes], length: int = LENGTH, gram: int = GRAM, at_once:
     at = np.concatenate(at)
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     last = np.append(first[1:], windows) - 1
-    return hashes[at[first]].view(np.int64), first, last
+    return hashes[at[first]].view(np.int64), first, last, at[first]
+
+
+# --- prefixes ---------------------------------------------------------------------------------------
+
+
+def prefix_lengths(length: int = LENGTH, gram: int = GRAM) -> list[int]:
+    """The anchor's, doubled as long as it is shorter than a window, and a window's."""
+    out = [gram]
+    while 2 * out[-1] < length:
+        out.append(2 * out[-1])
+    return [*out, length] if out[-1] < length else out
+
+
+def words_before(offset: int, prefix: int, length: int) -> int:
+    """How many words before an anchor the prefix of its windows with this offset begins: it then lies in the window."""
+    step = max(1, length - prefix)
+    return -(-max(0, offset + prefix - length) // step) * step
+
+
+def longer(words: list[bytes], first: int, last: int, at: int, prefix: int, length: int) -> Iterator[tuple[bytes, int, int]]:
+    """(key of the prefix, first window, last window) of what a segment falls into; `words` begin with the first window."""
+    w = first
+    while w <= last:
+        before = words_before(at - w, prefix, length)
+        stop = w
+        while stop < last and words_before(at - stop - 1, prefix, length) == before:
+            stop += 1
+        begin = at - before - first
+        yield xxhash.xxh3_128_digest(b" ".join(words[begin : begin + prefix]), seed=before << 32 | prefix), w, stop
+        w = stop + 1
+
+
+# --- trees ------------------------------------------------------------------------------------------
 
 
 class SuffixTree:
-    """Enhanced suffix array of some suffixes of sequences of words, to a depth of `length` words.
+    """Enhanced suffix array of some suffixes of segments.
 
-    words: all sequences, one after the other. starts: where the suffixes start; each has `length`
-    words of its own sequence at least.
+    words: the numbered words of all segments, one after the other, each followed by a number of its own that no other
+    place has. starts: where the suffixes start. longest: words of the longest suffix, at most.
     """
 
-    def __init__(self, words: np.ndarray, starts: np.ndarray, length: int):
-        ranks, size = [words.astype(np.int64)], 1
-        while 2 * size <= length:
+    def __init__(self, words: np.ndarray, starts: np.ndarray, longest: int):
+        top = int(words.max(initial=0)) + 1
+        ranks, size = [np.concatenate((words.astype(np.int64), np.arange(top, top + 2 * longest + 2)))], 1
+        while 2 * size <= longest:
             a = ranks[-1]
             ranks.append(np.unique(a[:-size] * (a.max() + 1) + a[size:], return_inverse=True)[1])
             size *= 2
-        top = ranks[-1]
-        key = top[starts] * (top.max() + 1) + top[starts + length - size]
-        order = np.argsort(key, kind="stable")
-        self.length, self.suffixes = length, starts[order]
-        a, b = self.suffixes[:-1], self.suffixes[1:]
-        self.common = np.zeros(len(a), np.int64)  # words that neighbours share, `length` at most
+        a = ranks[-1]
+        order = np.argsort(a[starts] * (a.max() + 1) + a[np.minimum(starts + size, len(a) - 1)], kind="stable")
+        self.order, self.suffixes = order, starts[order]
+        one, two = self.suffixes[:-1], self.suffixes[1:]
+        self.common = np.zeros(len(one), np.int64)  # words that neighbours share
         for rank, n in zip(ranks[::-1], (1 << k for k in range(len(ranks) - 1, -1, -1)), strict=True):
-            for _ in range(1 + length // size if n == size else 1):
-                fits = self.common + n <= length
-                i, j = np.where(fits, a + self.common, 0), np.where(fits, b + self.common, 0)
-                self.common += n * (fits & (rank[i] == rank[j]))
-        self.order = order
-
-    def deep_nodes(self) -> tuple[np.ndarray, np.ndarray]:
-        """(order of the suffixes, first of each run): suffixes of one run share `length` words, an internal node if two or more."""
-        return self.order, np.flatnonzero(np.concatenate(([True], self.common < self.length)))
-
-
-def _repeats(docs: np.ndarray, texts: list, from_: np.ndarray, to: np.ndarray, split: np.ndarray, length: int) -> tuple[tuple, tuple]:
-    """Of segments of whole groups or blocks: (segment, first window, last window) of each run of windows that a smaller
-    doc_id has too, and, for segments of split groups, (segment, window, digest) of windows that none here has."""
+            i, j = one + self.common, two + self.common
+            self.common += n * (rank[np.minimum(i, len(rank) - 1)] == rank[np.minimum(j, len(rank) - 1)])
+
+    def deep_nodes(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(order of the suffixes, first of each node): the nodes nearest to the root that share `length` words; a node of one suffix is a leaf."""
+        return self.order, np.flatnonzero(np.concatenate(([True], self.common < length)))
+
+    def internal_nodes(self, length: int) -> list[tuple[int, int, int]]:
+        """(shared words, first, last place in the order) of every internal node that shares `length` words or more, by a stack over `common`."""
+        out: list[tuple[int, int, int]] = []
+        stack: list[tuple[int, int]] = []  # (shared words, first)
+        for k, n in enumerate([*self.common.tolist(), 0]):
+            first = k
+            while stack and stack[-1][0] > n:
+                depth, first = stack.pop()
+                out.append((depth, first, k))
+            if n >= length and (not stack or stack[-1][0] < n):
+                stack.append((n, first))
+        return out
+
+
+@dataclass
+class Repeats:
+    """Runs of windows whose words a smaller doc_id has too, and where it has them: the smallest such doc_id's first place."""
+
+    segment: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    source: np.ndarray
+    source_first: np.ndarray
+
+
+def repeats(docs: np.ndarray, segments: list[bytes], from_: np.ndarray, to: np.ndarray, length: int) -> Repeats:
+    """What the deep nodes say of the segments of whole groups; from_ and to are the segments' windows."""
     ids: dict = {}
-    words_of_each = [t.split() for t in texts]
-    words = np.fromiter((ids.setdefault(w, len(ids)) for s in words_of_each for w in s), np.int64)
-    offset = np.concatenate(([0], np.cumsum([len(s) for s in words_of_each])[:-1])).astype(np.int64)
+    words_of_each = [t.split() for t in segments]
+    flat: list[int] = []
+    for own in words_of_each:
+        flat += [ids.setdefault(w, len(ids)) for w in own]
+        flat.append(-1)
+    words = np.array(flat, np.int64)
+    ends = np.flatnonzero(words < 0)
+    words[ends] = len(ids) + np.arange(len(ends))
+    offset = np.concatenate(([0], ends[:-1] + 1))
     n = to - from_ + 1
     segment = np.repeat(np.arange(len(n)), n)
-    window = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    tree = SuffixTree(words, offset[segment] + window, length)
-    order, first = tree.deep_nodes()
-    doc = docs[segment]
-    least = np.empty_like(doc)
-    least[order] = np.repeat(np.minimum.reduceat(doc[order], first), np.diff(np.append(first, len(order))))
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    tree = SuffixTree(words, offset[segment] + place, max(map(len, words_of_each), default=1))
+    order, first = tree.deep_nodes(length)
+    sizes = np.diff(np.append(first, len(order)))
+    doc, window = docs[segment], from_[segment] + place
+    least, least_at = np.empty_like(doc), np.empty_like(window)
+    lowest = np.repeat(np.minimum.reduceat(doc[order], first), sizes)
+    least[order] = lowest
+    least_at[order] = np.repeat(np.minimum.reduceat(np.where(doc[order] == lowest, window[order], np.iinfo(np.int64).max), first), sizes)
     hit = np.flatnonzero(doc > least)
-    new = np.concatenate(([True], (segment[hit][1:] != segment[hit][:-1]) | (window[hit][1:] != window[hit][:-1] + 1)))[: len(hit)]
-    begin = np.flatnonzero(new)
+    seg, w, src, src_w = segment[hit], window[hit], least[hit], least_at[hit]
+    goes_on = (seg[1:] == seg[:-1]) & (w[1:] == w[:-1] + 1) & (src[1:] == src[:-1]) & (src_w[1:] == src_w[:-1] + 1)
+    begin = np.flatnonzero(np.concatenate(([True], ~goes_on))[: len(hit)])
     end = np.append(begin[1:], len(hit))[: len(begin)] - 1
-    seg = segment[hit[begin]]
-    runs = seg, from_[seg] + window[hit[begin]], from_[seg] + window[hit[end]]
-    open_ = np.flatnonzero((doc == least) & split[segment])
-    digests = [xxhash.xxh3_128_digest(b" ".join(words_of_each[i][w : w + length])) for i, w in zip(segment[open_].tolist(), window[open_].tolist(), strict=True)]
-    return runs, (segment[open_], from_[segment[open_]] + window[open_], digests)
+    return Repeats(seg[begin], w[begin], w[end], src[begin], src_w[begin])
+
+
+# --- the passes -------------------------------------------------------------------------------------
+
+_SEEN = "doc_id long, text_hash long, n_words long, sequence binary, hashes array<long>, first array<int>, last array<int>, at array<int>"
 
 
 def _digests(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "text_hash", "n_words", "sequence", "hashes", "first", "last"]
+    names = ["doc_id", "text_hash", "n_words", "sequence", "hashes", "first", "last", "at"]
     for ids, texts in columns(batches, "doc_id", "text"):
-        out: list[list] = [ids, [], [], [], [], [], []]
+        out: list[list] = [ids, [], [], [], [], [], [], []]
         for text in texts:
             words = words_of(text)
             found = anchors(words, length, gram)
-            row = (xxhash.xxh64_intdigest((text or "").encode(), 42), len(words), xxhash.xxh3_128_digest(b" ".join(words)), *found)
+            row = (_text_hash(text), len(words), xxhash.xxh3_128_digest(b" ".join(words)), *found)
             for col, value in zip(out[1:], row, strict=True):
                 col.append(value)
-        out[1] = np.array(out[1], np.uint64).view(np.int64)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 2]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 3]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
 
 
-_SEGMENTS = {"key": pa.int64(), "block": pa.int64(), "split": pa.bool_(), "doc_id": pa.int64(), "text_hash": pa.int64(), "first": pa.int64(), "last": pa.int64(), "segment": pa.binary()}
-_SPANS = {"doc_id": pa.int64(), "text_hash": pa.int64(), "start": pa.int64(), "stop": pa.int64(), "node": pa.binary()}
+def _text_hash(text: str | None) -> int:
+    h = xxhash.xxh64_intdigest((text or "").encode(), 42)
+    return h - (h >> 63 << 64)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one, for the exchanges."""
+    pack = zstandard.ZstdCompressor(level=3, write_checksum=False).compress
+    for ids, texts in columns(batches, "doc_id", "text"):
+        arrays = [pa.array(ids, pa.int64()), pa.array(map(_text_hash, texts), pa.int64()), pa.array([pack((t or "").encode()) for t in texts], pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_hash", "packed"])
+
+
+#: A segment (key, windows first..last, the anchor's place, text) that is built if it isn't open; or a window of an open group (node).
+_SEGMENTS = {"key": pa.binary(), "open": pa.bool_(), "doc_id": pa.int64(), "text_hash": pa.int64(), "first": pa.int64(), "last": pa.int64(), "at": pa.int64(), "segment": pa.binary()}
+_SEGMENTS_SCHEMA = "key binary, open boolean, doc_id long, text_hash long, first long, last long, at long, segment binary"
+#: What a pass gives: repeated spans with their source; what is open goes along, a segment or, without text, a window.
+_ROWS = {"key": pa.binary(), "doc_id": pa.int64(), "text_hash": pa.int64(), "first": pa.int64(), "last": pa.int64(), "at": pa.int64(), "segment": pa.binary(), "source": pa.int64(), "source_first": pa.int64()}
+_ROWS_SCHEMA = "key binary, doc_id long, text_hash long, first long, last long, at long, segment binary, source long, source_first long"
+
+
+def _batch(rows: list[tuple], kinds: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds))
 
 
-def _segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Documents with their repeated anchors -> for each anchor the text of the windows that have it."""
-    for ids, hashes, texts, found in columns(batches, "doc_id", "text_hash", "text", "found", at_once=64):
+def _lengthened(doc: int, text_hash: int, words: list[bytes], first: int, last: int, at: int, prefix: int, length: int) -> list[tuple]:
+    """A heavy segment's parts by the longer prefix, open: their groups aren't known yet. Whole windows need no text."""
+    out = []
+    for key, lo, hi in longer(words, first, last, at, prefix, length):
+        text = None if prefix == length else b" ".join(words[lo - first : hi - first + length])
+        out.append((key, True, doc, text_hash, lo, hi, at, text))
+    return out
+
+
+def _segments(batches: Iterator[pa.RecordBatch], length: int, prefix: int) -> Iterator[pa.RecordBatch]:
+    """Documents with their repeated anchors -> a segment for each light anchor, and for heavy ones segments by a longer prefix."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for ids, hashes, texts, found in columns(batches, "doc_id", "text_hash", "packed", "found", at_once=64):
         out: list[tuple] = []
-        for doc, text_hash, text, anchors_ in zip(ids, hashes, texts, found, strict=True):
-            words = words_of(text)
+        for doc, text_hash, packed, anchors_ in zip(ids, hashes, texts, found, strict=True):
+            words = unpack(packed).split()
             for a in anchors_:
-                lo, hi, blocks = a["first"], a["last"], a["blocks"]
-                out.append((a["hash"], text_hash % blocks, blocks > 1, doc, text_hash, lo, hi, b" ".join(words[lo : hi + length])))
+                lo, hi = a["first"], a["last"]
+                own = words[lo : hi + length]
+                if a["heavy"]:
+                    out += _lengthened(doc, text_hash, own, lo, hi, a["at"], prefix, length)
+                else:
+                    out.append((a["hash"].to_bytes(8, "little", signed=True), False, doc, text_hash, lo, hi, a["at"], b" ".join(own)))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), _SEGMENTS.values(), strict=True)], list(_SEGMENTS))
+            yield _batch(out, _SEGMENTS)
+
+
+def _again(batches: Iterator[pa.RecordBatch], length: int, prefix: int) -> Iterator[pa.RecordBatch]:
+    """Open segments, of groups whose size is known now -> the light ones to be built, the heavy ones by a longer prefix."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 256):
+            out: list[tuple] = []
+            for r in batch.slice(k, 256).to_pylist():
+                if r["heavy"]:
+                    out += _lengthened(r["doc_id"], r["text_hash"], r["segment"].split(), r["first"], r["last"], r["at"], prefix, length)
+                else:
+                    out.append((r["key"], False, r["doc_id"], r["text_hash"], r["first"], r["last"], r["at"], r["segment"]))
+            if out:
+                yield _batch(out, _SEGMENTS)
 
 
 def _trees(batches: Iterator[pa.RecordBatch], length: int, at_once: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Segments, those of a group's block next to each other -> spans that a smaller doc_id has too, without a node, and
-    with their nodes the windows of split groups that no smaller doc_id of the block has.
+    """Segments, those of a light group next to each other -> spans that a smaller doc_id has too; what is open passes.
 
-    Blocks are built together up to `at_once` bytes of text; a single block has about `heavy` segments at most.
+    Groups are built together up to `at_once` bytes of text; a single group has `heavy` segments at most.
     """
 
     def build(rows: pa.Table) -> pa.RecordBatch:
         docs, hashes, first, last = (rows.column(c).to_numpy() for c in ("doc_id", "text_hash", "first", "last"))
-        split = rows.column("split").to_numpy()
-        (seg, begin, end), (open_, at, digests) = _repeats(docs, rows.column("segment").to_pylist(), first, last, split, length)
-        of = np.concatenate([seg, open_])
-        start, stop = np.concatenate([begin, at]), np.concatenate([end, at]) + length
-        return pa.RecordBatch.from_arrays([pa.array(docs[of]), pa.array(hashes[of]), pa.array(start), pa.array(stop), pa.array([None] * len(seg) + digests, pa.binary())], list(_SPANS))
+        r = repeats(docs, rows.column("segment").to_pylist(), first, last, length)
+        none = [None] * len(r.segment)
+        values = (none, docs[r.segment], hashes[r.segment], r.first, r.last, none, none, r.source, r.source_first)
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, _ROWS.values(), strict=True)], list(_ROWS))
 
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
+        open_ = batch.column("open")
+        passes, batch = batch.filter(open_), batch.filter(pc.invert(open_))
+        if passes.num_rows:
+            none = pa.nulls(passes.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(passes.column(n) for n in list(_ROWS)[:7]), none, none], list(_ROWS))
         for k in range(0, batch.num_rows, 2048):
             part = batch.slice(k, 2048)
             held.append(part)
@@ -184,8 +301,8 @@ def _trees(batches: Iterator[pa.RecordBatch], length: int, at_once: int = 4 << 2
             if size < at_once:
                 continue
             rows = pa.Table.from_batches(held)
-            keys, blocks = rows.column("key").to_numpy(), rows.column("block").to_numpy()
-            cut = int(np.argmax((keys == keys[-1]) & (blocks == blocks[-1])))  # sorted: the last block may go on
+            keys = rows.column("key").to_pylist()
+            cut = next(i for i in range(len(keys)) if keys[i] == keys[-1])  # sorted: the last group may go on
             if cut:
                 yield build(rows.slice(0, cut))
             held = rows.slice(cut).to_batches()
@@ -196,10 +313,11 @@ def _trees(batches: Iterator[pa.RecordBatch], length: int, at_once: int = 4 << 2
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]
-    for ids, texts, spans, copies in columns(batches, "doc_id", "text", "spans", "copy"):
+    unpack = zstandard.ZstdDecompressor().decompress
+    for ids, texts, spans, copies in columns(batches, "doc_id", "packed", "spans", "copy"):
         out: list[list] = [ids, [], [], [], []]
-        for text, found, copy in zip(texts, spans, copies, strict=True):
-            words = words_of(text)
+        for packed, found, copy in zip(texts, spans, copies, strict=True):
+            words = unpack(packed).split()
             n = len(words)
             if copy:
                 words = []
@@ -217,35 +335,78 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*arrays[:4], arrays[4].cast(pa.string())], names)
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, heavy: int = HEAVY) -> tuple[DataFrame, DataFrame]:
-    """(texts, spans): texts has doc_id, text, text_hash; spans has, for (doc_id, text_hash), whether the row is a whole copy
-    of a smaller doc_id's words, or else the word spans (start, stop) that a smaller doc_id has too."""
-    picked = docs.select(*column_names(docs, doc_id=id_col, text=text_col))
-    texts = picked.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    schema = "doc_id long, text_hash long, n_words long, sequence binary, hashes array<long>, first array<int>, last array<int>"
-    named = texts.select("doc_id", "text").where("doc_id is not null")
-    seen = written(named.mapInArrow(lambda batches: _digests(batches, length, gram), schema).where(f"n_words >= {length}").drop("n_words"))
+def _sized(rows: DataFrame, key: str, heavy: int) -> DataFrame:
+    """`rows` whose key more than one doc_id has, with `heavy`: whether more than `heavy` rows have it. A count with map-side
+    combine; both sides of the join are exchanged, so that a hot key can be split."""
+    shared = rows.groupBy(key).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    hidden = F.concat(key, F.lit(b"")).alias(key) if dict(rows.dtypes)[key] == "binary" else apart(key)
+    return rows.join(shared.select(hidden, (F.col("n") > heavy).alias("heavy")), key)
+
+
+@dataclass
+class Found:
+    """texts: (doc_id, text_hash, packed), a row for each document. spans: (doc_id, text_hash, start, stop, source, source_start), not yet merged.
+    copies: (doc_id, text_hash, source, n_words): documents whose words are all those of a smaller doc_id."""
+
+    texts: DataFrame
+    spans: DataFrame
+    copies: DataFrame
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, heavy: int = HEAVY) -> Found:
+    """What a smaller doc_id has too. Of documents with equal words only the one of smallest doc_id goes into trees: for the others it is the source of all their words."""
+    picked = docs.select(*column_names(docs, doc_id=id_col, text=text_col)).withColumn("doc_id", F.col("doc_id").cast("long"))
+    texts = picked.mapInArrow(_packed, "doc_id long, text_hash long, packed binary")
+    seen = written(picked.where("doc_id is not null").mapInArrow(lambda batches: _digests(batches, length, gram), _SEEN).where(f"n_words >= {length}"))
     least = seen.groupBy("sequence").agg(F.min("doc_id").alias("least"))
     marked = seen.join(least.select(F.concat("sequence", F.lit(b"")).alias("sequence"), "least"), "sequence")
-    marked = marked.select("doc_id", "text_hash", "hashes", "first", "last", (F.col("doc_id") > F.col("least")).alias("copy"))
-    whole = marked.where("copy").select("doc_id", "text_hash").distinct()
-    occurs = marked.where("not copy").select("doc_id", "text_hash", F.explode(F.arrays_zip("hashes", "first", "last")).alias("a"))
-    occurs = occurs.select("doc_id", "text_hash", F.col("a.hashes").alias("hash"), F.col("a.first").alias("first"), F.col("a.last").alias("last"))
-    shared = occurs.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    found = occurs.join(shared.select(apart("hash"), "n"), "hash")
-    blocks = F.when(F.col("n") > heavy, F.ceil(F.col("n") * 1.5 / heavy)).otherwise(1).cast("long")
-    lists = found.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("hash", "first", "last", blocks.alias("blocks"))).alias("found"))
-    held = texts.join(lists, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "found")
-    segments = held.mapInArrow(lambda batches: _segments(batches, length), "key long, block long, split boolean, doc_id long, text_hash long, first long, last long, segment binary")
-    groups = segments.repartition("key", "block").sortWithinPartitions("key", "block")
-    rows = written(groups.mapInArrow(lambda batches: _trees(batches, length), "doc_id long, text_hash long, start long, stop long, node binary"))
-    open_ = rows.where("node is not null")
-    nodes = open_.groupBy("node").agg(F.min("doc_id").alias("least"))
-    deep = open_.join(nodes.select(F.concat("node", F.lit(b"")).alias("node"), "least"), "node").where("doc_id > least")
-    settled = rows.where("node is null").drop("node").unionByName(deep.drop("node", "least"))
-    spans = settled.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    copies = whole.select("doc_id", "text_hash", F.lit(None).cast("array<struct<start:bigint,stop:bigint>>").alias("spans"), F.lit(True).alias("copy"))
-    return texts, spans.withColumn("copy", F.lit(False)).unionByName(copies)
+    copies = marked.where("doc_id > least").select("doc_id", "text_hash", F.col("least").alias("source"), "n_words").distinct()
+    occurs = marked.where("doc_id = least").select("doc_id", "text_hash", F.explode(F.arrays_zip("hashes", "first", "last", "at")).alias("a"))
+    occurs = occurs.select("doc_id", "text_hash", F.col("a.hashes").alias("hash"), *(F.col(f"a.{c}").alias(c) for c in ("first", "last", "at")))
+    lists = _sized(occurs, "hash", heavy).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("hash", "first", "last", "at", "heavy")).alias("found"))
+    held = texts.join(lists, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", "packed", "found")
+
+    def built(segments: DataFrame) -> DataFrame:
+        # what is open only passes: it goes anywhere, so that a hot group doesn't go to one task
+        dealt = F.when(F.col("open"), F.xxhash64("key", "doc_id", "first")).otherwise(F.xxhash64("key"))
+        rows = segments.withColumn("dealt", dealt).repartition("dealt").sortWithinPartitions("dealt", "key").drop("dealt")
+        return written(rows.mapInArrow(lambda batches: _trees(batches, length), _ROWS_SCHEMA))
+
+    prefixes = iter(prefix_lengths(length, gram)[1:])
+    passes = [built(held.mapInArrow(lambda batches, p=next(prefixes, length): _segments(batches, length, p), _SEGMENTS_SCHEMA))]
+    for prefix in prefixes:
+        open_ = passes[-1].where("segment is not null").drop("source", "source_first")
+        if open_.isEmpty():
+            break
+        passes.append(built(_sized(open_, "key", heavy).mapInArrow(lambda batches, p=prefix: _again(batches, length, p), _SEGMENTS_SCHEMA)))
+    spans, windows = None, None
+    for rows in passes:
+        some = rows.where("source is not null").select("doc_id", "text_hash", F.col("first").alias("start"), (F.col("last") + length).alias("stop"), "source", F.col("source_first").alias("source_start"))
+        whole = rows.where("key is not null and segment is null").select("key", "doc_id", "text_hash", "first")
+        spans, windows = (some, whole) if spans is None else (spans.unionByName(some), windows.unionByName(whole))
+    nodes = windows.groupBy("key").agg(F.min(F.struct("doc_id", "first")).alias("least"))
+    deep = windows.join(nodes.select(F.concat("key", F.lit(b"")).alias("key"), "least"), "key").where("doc_id > least.doc_id")
+    single = deep.select("doc_id", "text_hash", F.col("first").alias("start"), (F.col("first") + length).alias("stop"), F.col("least.doc_id").alias("source"), F.col("least.first").alias("source_start"))
+    return Found(texts, spans.unionByName(single), copies)
+
+
+def maximal_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, heavy: int = HEAVY) -> DataFrame:
+    """(doc_id, start, stop, source, source_start): passages of `length` words or more that a smaller doc_id has too, in words.
+
+    For each window the source is the smallest doc_id that has it, at its first place there; windows that follow each other
+    in both documents are one passage, which can't be made longer with this source. A copy is one passage.
+    """
+    found = repeated_spans(docs, id_col, text_col, length, gram, heavy)
+    keys = ["doc_id", "text_hash", "source", (F.col("start") - F.col("source_start")).alias("shift")]
+    rows = found.spans.select(*keys, "start", "stop").distinct()
+    order = Window.partitionBy("doc_id", "text_hash", "source", "shift").orderBy("start", "stop")
+    reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = rows.withColumn("new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1)))
+    grouped = marked.withColumn("passage", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = grouped.groupBy("doc_id", "text_hash", "source", "shift", "passage").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    zero = F.lit(0).cast("long")
+    copies = found.copies.select("doc_id", zero.alias("start"), F.col("n_words").alias("stop"), "source", zero.alias("source_start"))
+    return merged.select("doc_id", "start", "stop", "source", (F.col("start") - F.col("shift")).alias("source_start")).unionByName(copies)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, heavy: int = HEAVY) -> DataFrame:
@@ -256,8 +417,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     words. Rows that repeat a doc_id don't count against each other; rows with a null doc_id
     lose nothing and count against none.
     """
-    texts, spans = repeated_spans(docs, id_col, text_col, length, gram, heavy)
-    joined = texts.join(spans, ["doc_id", "text_hash"], "left").select("doc_id", "text", "spans", F.coalesce("copy", F.lit(False)).alias("copy"))
+    found = repeated_spans(docs, id_col, text_col, length, gram, heavy)
+    spans = found.spans.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    copies = found.copies.select("doc_id", "text_hash", F.lit(None).cast("array<struct<start:bigint,stop:bigint>>").alias("spans"), F.lit(True).alias("copy"))
+    both = spans.withColumn("copy", F.lit(False)).unionByName(copies)
+    joined = found.texts.join(both, ["doc_id", "text_hash"], "left").select("doc_id", "packed", "spans", F.coalesce("copy", F.lit(False)).alias("copy"))
     return joined.mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 

@@ -194,7 +194,7 @@ class Model:
     def scorer(self) -> _Scorer:
         restorer = Restorer(self.costs)
         score = lambda token: max(map(self.word_score, restorer.readings(token)), default=0.0)
-        return _Scorer(self, restorer, kept(("toxicity", self.name), lambda: Memo(lambda tokens: list(map(score, tokens)), longest=200)))
+        return _Scorer(self, restorer, kept(("toxicity", self.name), lambda: Memo(lambda tokens: list(map(score, tokens)))))
 
 
 @dataclass

@@ -70,6 +70,78 @@ def test_scores_are_bm25():
         assert dict(zip(got[1].tolist(), got[2].round(9).tolist(), strict=True)) == {p: round(s, 9) for p, s in want.items() if s >= 1}
 
 
+def test_wand_finds_all_and_reads_little(monkeypatch):
+    rng = random.Random(4)
+    items = [(i, f"{sentence(rng, 12)}? {sentence(rng, 6)}") for i in range(400)]
+    index = D.Index([p for i, t in items for p in D.parts_of(i, t)], block=4)
+    for bound in (0.5, 1.0, 1.5):
+        for _ in range(15):
+            codes = sorted({index.number[w.encode()] for w in rng.sample(WORDS, rng.randrange(1, 20)) if w.encode() in index.number})
+            want = {}
+            for t in codes:
+                for k in range(index.first[t], index.first[t + 1]):
+                    want[int(index.part[k])] = want.get(int(index.part[k]), 0) + index.score[k]
+            got = index.wand(codes, bound)
+            assert [p for p, _ in got] == sorted(p for p, s in want.items() if s >= bound)
+            assert all(s == pytest.approx(want[p]) for p, s in got)
+
+
+def by_definition(items, texts):
+    """Items of up to 64 words whose shingles, and whose question's and answer's, are in 128 words from a multiple of 64 on."""
+    def words(text):
+        return "".join(c if c.isalnum() or ord(c) > 127 else " " for c in (text or "").lower()).split(" ")
+
+    def shingle_set(ws):
+        ws = [w for w in ws if w]
+        return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
+
+    out = []
+    for text in texts:
+        own = [w for w in words(text) if w]
+        found = set()
+        for item, whole in items:
+            question, _, answer = whole.rpartition("?")
+            sides = [shingle_set(words(question) + words(answer)), shingle_set(words(question)), shingle_set(words(answer))]
+            for k in range(0, max(1, len(own)), 64):
+                window = own[k : k + 128]
+                held = [len([s for s in side if s in {tuple(window[i : i + len(s)]) for i in range(len(window) - len(s) + 1)}]) / len(side) if side else 1.0 for side in sides]
+                if held[0] >= 0.8 and min(held[1:]) >= 0.5:
+                    found.add(item)
+        out.append(found)
+    return out
+
+
+def test_query_by_definition(spark, tmp_path):
+    from sievewright.llm import queries
+
+    rng = random.Random(9)
+    items = [(i, f"{sentence(rng, rng.choice([6, 15, 30]))}? {sentence(rng, rng.choice([1, 5, 12]))}") for i in range(25)]
+    texts = []
+    for _ in range(50):
+        parts = [sentence(rng, rng.randrange(90))]
+        for _ in range(rng.randrange(3)):
+            held = rng.choice(items)[1].replace("?", rng.choice(["?", " ,", "..."])).split(" ")
+            if rng.random() < 0.4:
+                held[rng.randrange(len(held))] = "zz"
+            parts += [" ".join(held), sentence(rng, rng.randrange(90))]
+        texts.append(" ".join(parts))
+    texts += [None, "", texts[0]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = by_definition(items, texts)
+    got = {r.doc_id: {int(x.split(":")[0]) for x in r["items"].split(",") if x} for r in queries.op10_decontamination(spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(want)) and sum(map(bool, want)) > 15
+
+
+def test_one_pass_holds_one_index(spark):
+    items, texts = corpus(4)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    plan = D.contamination(docs, bench, shard_bytes=300)._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan  # shards are done, what is left joins their hits
+    assert D.contamination(docs, bench)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def test_question_and_answer():
     assert D.question_and_answer("What is it? A cat.") == ("What is it?", " A cat.")
     assert D.question_and_answer("one two\nthree\n") == ("one two\n", "three")

@@ -64,8 +64,12 @@ def test_swapped_replies(spark):
 
 @pytest.mark.parametrize("messy", [False, True])
 def test_query_equals_sql(spark, tmp_path, messy):
+    """Messy: turns that are null or tied, null roles and texts, repeated rows, and a turn of a million characters."""
     rng = random.Random(messy)
     rows = [(c, t, rng.choice(["user", "assistant"] + ["system", None] * messy), rng.choice(["hi", "é漢🙂", "a\nb"] + ["", None] * messy)) for c in range(60) for t in range(rng.randrange(1, 7)) if c % 7]
+    if messy:
+        rows += [(c, rng.choice([None, 0, 1, 2]), rng.choice(["user", "assistant", None]), rng.choice(["x", "", None])) for c in range(30) for _ in range(3)]
+        rows += rows[5:15] + [(None, 0, "user", "nobody's"), (61, 0, "user", "long " * 200_000), (61, 1, "assistant", "yes")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = queries.op1_preferences(spark, str(tmp_path))
     db = duckdb.connect()
@@ -74,3 +78,9 @@ def test_query_equals_sql(spark, tmp_path, messy):
     assert sorted(got.columns) == sorted(want.columns)
     names = sorted(got.columns)
     assert sorted(map(tuple, got.select(*names).collect())) == sorted(want.project(", ".join(names)).fetchall())
+
+
+def test_null_turns_come_last(spark):
+    turns = [(0, None, "user", "end"), (0, 3, None, "c"), (0, 3, "user", None), (0, 3, "user", "b"), (0, 1, "assistant", "a")]
+    (row,) = P.assembled(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    assert [tuple(t) for t in row.turns] == [(1, "assistant", "a"), (3, "user", "b"), (3, "user", None), (3, None, "c"), (None, "user", "end")]

@@ -4,7 +4,7 @@ import pytest
 import xxhash
 
 from sievewright.llm import simhash
-from sievewright.llm.components import connected
+from sievewright.operators.components import connected
 
 
 def slow_print(text):
@@ -87,3 +87,12 @@ def test_components(spark, kind):
     want = slow_components(nodes, edges) if nodes else {}
     assert got.keys() == nodes
     assert len({(got[n], want[n]) for n in nodes}) == len(set(got.values())) == len(set(want.values()))
+
+
+def test_keep_one_with_any_column_names(spark):
+    names = ["doc_id", "text", "_row", "_gone", "row", "tie", "place", "fp", "component_id", "a.b"]
+    rows = [(5, "one two three four", *range(8)), (3, "one two three four", *range(8)), (9, "something else entirely here", *range(8)), (9, "something else entirely here", *range(8)), (None, "one two three four", *range(8))]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{n}` {'string' if n == 'text' else 'long'}" for n in names))
+    kept = simhash.keep_one(docs)
+    assert kept.columns == names and kept.dtypes == docs.dtypes
+    assert sorted((tuple(r) for r in kept.collect()), key=str) == sorted([rows[1], rows[2], rows[4]], key=str)

@@ -52,11 +52,21 @@ def test_encode_and_decode(spark):
 def test_memory_forgets_but_answers():
     m = memo.Memo(lambda keys: [k * 2 for k in keys], most=10)
     for k in range(0, 200, 7):
-        keys = list(range(k, k + 8)) + [0, 1]
+        keys = [str(x) for x in range(k, k + 8)] + ["0", "1"]
         assert [m.known(keys)[x] for x in keys] == [2 * x for x in keys]
         assert len(m.young) <= 20 and len(m.old) <= 20
 
 
+def test_memory_drops_long_keys():
+    asked = []
+    m = memo.Memo(lambda keys: [asked.append(k) or len(k) for k in keys], most=100, longest=8)
+    for n in range(30):
+        keys = ["short", "x" * (1000 + n), "y" * 2000]
+        assert [m.known(keys)[k] for k in keys] == [5, 1000 + n, 2000]
+    m.known(["short"])
+    assert set(m.young) == {"short"} and asked.count("short") == 1 and asked.count("y" * 2000) == 30
+
+
 def greedy(word, initial, continuation):
     at = n = 0
     while at < len(word):
@@ -92,6 +102,13 @@ def test_token_counts(spark):
     assert wordpiece.token_counts(docs.where("false"), unknown).collect() == []
 
 
+def test_very_long_words_and_repeated_rows(spark):
+    model = wordpiece.LongestMatch([b"ab", b"a"], [b"ab", b"b", b"a"])
+    docs = spark.createDataFrame([(1, "ab" * 500_000), (1, "ab" * 500_000), (2, "a b a " * 100_000)], "doc_id long, text string")
+    got = sorted(tuple(r) for r in wordpiece.token_counts(docs, model).collect())
+    assert got == [(1, 1, 0, 500_000)] * 2 + [(2, 300_000, 100_000, 300_000)]
+
+
 def test_hash_is_of_the_whole_vocabulary():
     slots = MODEL.hash.slots(list(MODEL.ranks))
     assert np.array_equal(np.sort(slots), np.arange(len(MODEL.ranks)))

@@ -124,6 +124,40 @@ def test_scores(spark):
     assert T.train(docs, flipped).weights == model.weights
 
 
+def hide(word, how, rng):
+    """The word in leetspeak, spaced out, with repeated letters, or in two of these ways."""
+    signs = {"o": "0", "i": "1", "e": "3", "s": "$", "t": "7", "a": "@", "c": "("}
+    if "leet" in how:
+        word = "".join(signs.get(c, c) for c in word)
+    if "repeat" in how:
+        k = rng.randrange(1, len(word) - 1)
+        word = word[:k] + word[k] * 3 + word[k:]
+    return rng.choice([" ", ".", "-"]).join(word) if "space" in how else word
+
+
+@pytest.mark.parametrize("how", [("leet",), ("space",), ("repeat",), ("leet", "repeat"), ("leet", "space")])
+def test_hidden_words_count_in_held_out_documents(spark, how, monkeypatch):
+    """Toxic documents, none of them seen in training, whose toxic words are all hidden: found with the decoder, not without it."""
+    rows = corpus(900, seed=8)
+    rng = random.Random(str(how))
+    held = [zlib.crc32(str(i).encode()) % 5 == 0 for i, *_ in rows]
+    texts = [" ".join(hide(w, how, rng) if w.lower().strip(".") in BAD else w for w in t.split(" ")) if h else t for (_, t, _), h in zip(rows, held, strict=True)]
+    docs = spark.createDataFrame([(i, t) for (i, *_), t in zip(rows, texts, strict=True)], "doc_id long, text string")
+    model = T.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    hidden = [t for (_, _, y), t, h in zip(rows, texts, held, strict=True) if h and y]
+    clean = [t for (_, _, y), t, h in zip(rows, texts, held, strict=True) if h and not y]
+    scorer = model.scorer()
+    found = np.mean([scorer.score(t) >= 0.5 for t in hidden])
+    plain = T.Model(model.costs, model.weights, model.logistic, "plain")
+    plain.name = "plain"
+    monkeypatch.setattr(T.Restorer, "readings", lambda self, token: T._WORD.findall(token))
+    monkeypatch.setattr(T.Restorer, "spaced", lambda self, text: [])
+    without = np.mean([plain.scorer().score(t) >= 0.5 for t in hidden])
+    assert found >= 0.95 and without <= 0.1, (found, without)
+    monkeypatch.undo()
+    assert np.mean([model.scorer().score(t) >= 0.5 for t in clean]) <= 0.02
+
+
 def test_without_labels_or_documents(spark):
     docs = spark.createDataFrame([(i, t) for i, t, _ in corpus(20)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
