@@ -35,15 +35,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-def _tuned(stage):
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        queries.small_batches(spark)
-        return stage(spark, docs, sf_dir)
-
-    return run
-
-
-STAGES = [(f.__name__, _tuned(f)) for f in (toxic_out, near_duplicates_out, contaminated_out, personal_data_masked, encoded)]
+STAGES = [(f.__name__, f) for f in (toxic_out, near_duplicates_out, contaminated_out, personal_data_masked, encoded)]
 
 #: SQL can't express learned scores and similarity links; tests hold each stage against brute force.
 ORACLE_SQL = None
