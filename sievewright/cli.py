@@ -53,7 +53,7 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--preset")
     run.add_argument("--config")
     run.add_argument("--decoder", required=True, help="module:function that gives a video's frames")
-    run.add_argument("--encoder", help="module:function that makes the bytes of an image, for formats other than PNG")
+    run.add_argument("--encoder", help="module:function that makes the bytes of an image, for formats other than PNG and JPEG")
     run.add_argument("--model", help="module:function that makes a tagger, for the setting tag_images")
     run.add_argument("--vocabulary", help="the tagger's tags")
     run.add_argument("--segment", action="append", default=[], help="NAME:START-END in seconds")
@@ -96,19 +96,19 @@ def _refuse(config: Config, args: argparse.Namespace) -> None:
         raise ValueError("gpu_accel: there are no GPU kernels here")
     if config.phash_size > 8:
         raise ValueError("phash_size: hashes of over 64 bits aren't supported")
-    if config.output_format != "png" and not args.encoder:
-        raise ValueError(f"output_format {config.output_format}: name an --encoder; only PNG is built in")
+    if config.output_format == "webp" and not args.encoder:
+        raise ValueError("output_format webp: name an --encoder; PNG and JPEG are built in")
     if config.tag_images and not (args.model or config.tagger_model) or config.tag_images and not args.vocabulary:
         raise ValueError("tag_images needs --model (or the setting tagger_model, as module:function) and --vocabulary")
 
 
 def _encoder(config: Config, name: str | None):
     """An image's bytes. A caller's encoder gets the quality that is set for its format."""
-    if config.output_format == "png" and not name:
-        return sinks.encoder("png")
     quality_ = {"jpg": config.jpg_quality, "webp": config.webp_quality}.get(config.output_format)
+    if not name:
+        return sinks.encoder(config.output_format, quality=quality_ or 95)
     encode = _named(name)
-    return (lambda image: encode(image)) if quality_ is None else lambda image: encode(image, quality_)
+    return encode if quality_ is None else lambda image: encode(image, quality_)
 
 
 def _extract(spark: SparkSession, args: argparse.Namespace) -> dict:

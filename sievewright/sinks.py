@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .functions import kernels
+from .functions import jpeg, kernels
 from .operators import reports
 from .sources.files import plain_path, read_images
 
@@ -35,9 +35,9 @@ def png(image: np.ndarray, level: int = 4) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw, level)) + chunk(b"IEND", b"")
 
 
-def encoder(format_: str, extra: dict[str, Callable[[np.ndarray], bytes]] | None = None) -> Callable[[np.ndarray], bytes]:
-    """PNG is built in; other formats need a function of the caller's."""
-    known = {"png": png, **(extra or {})}
+def encoder(format_: str, extra: dict[str, Callable[[np.ndarray], bytes]] | None = None, quality: int = 95) -> Callable[[np.ndarray], bytes]:
+    """PNG and JPEG are built in; other formats need a function of the caller's."""
+    known = {"png": png, "jpg": lambda image: jpeg.encode(image, quality), **(extra or {})}
     if format_ not in known:
         raise ValueError(f"no encoder for {format_!r}; there are {', '.join(sorted(known))}")
     return known[format_]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import SparkSession
 
 HERE = Path(__file__).parent
-sys.path[:0] = [str(HERE.parent), str(HERE)]
+sys.path[:0] = [str(HERE.parent), str(HERE), str(HERE / "llm")]
 os.environ["PYTHONPATH"] = os.pathsep.join([str(HERE.parent), str(HERE), os.environ.get("PYTHONPATH", "")])
 
 

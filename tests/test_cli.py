@@ -71,3 +71,15 @@ def test_tag(spark, capsys, tmp_path):
     got = json.loads(capsys.readouterr().out)
     assert (got["total"], got["tagged"], got["rejected"], got["failed"], got["top"]) == (3, 2, 0, 1, [["1girl", 2], ["miku", 2]])
     assert (tmp_path / "in/a.txt").read_text() == "x, miku, 1girl\n" == (tmp_path / "in/sub/b.txt").read_text()
+
+
+def test_extract_in_jpeg_and_tag(spark, capsys, tmp_path):
+    (tmp_path / "tags.csv").write_text("id,name,category\n0,1girl,0\n1,long_hair,0\n2,miku,4\n")
+    names = ("resolution=256", "min_bucket=64", "max_bucket=256", "min_pixels=1000", "min_per_video=0", "sampling=interval", "interval_seconds=0.4", "output_format=jpg", "tag_images=true", "trigger_word=x", "flatten_output=true", "log_level=ERROR")
+    cli.main(["extract", *[s for n in names for s in ("--set", n)], "--model", "test_cli:make_model", "--vocabulary", str(tmp_path / "tags.csv"), "--decoder", "frames_for_tests:decode", str(tmp_path / "out"), "clip.mp4"])
+    got = json.loads(capsys.readouterr().out)
+    assert got["written"] == got["tags"]["tagged"] == 5
+    images = sorted((tmp_path / "out").glob("clip_*.jpg"))
+    assert len(images) == 5 and all(f.with_suffix(".txt").read_text() == "x, miku, 1girl, long hair\n" for f in images)
+    page = (tmp_path / "out/_gallery.html").read_text()
+    assert page.count("<figure") == 5 and page.count("tags: x, miku") == 5 and "miku" in (tmp_path / "out/_report.html").read_text()

@@ -221,6 +221,26 @@ def test_numbers_go_on_past_five_digits(spark):
     assert [r.place for r in selection.places(some, "video").orderBy("video").collect()] == list(range(50))
 
 
+@pytest.mark.parametrize("size", [(64, 96), (37, 51), (1, 1), (8, 200)])
+def test_jpeg_is_read_by_another_decoder(spark, tmp_path, size):
+    from sievewright.functions import jpeg
+
+    y, x = np.mgrid[0 : size[0], 0 : size[1]]
+    image = np.stack([x * 255 // size[1], y * 255 // size[0], (x + y) % 256 // 2], -1).astype(np.uint8)
+    noisy = np.random.default_rng(1).integers(0, 255, (*size, 3), dtype=np.uint8)
+    errors = {}
+    for name, one in (("smooth", image), ("noisy", noisy), ("grey", image[..., 0]), ("flat", np.full((*size, 3), 77, np.uint8))):
+        for q in (50, 95):
+            (tmp_path / f"{name}-{q}.jpg").write_bytes(jpeg.encode(one, q))
+    for r in files.read_images(spark, str(tmp_path)).collect():
+        name, _, q = r.path.rpartition("/")[2].removesuffix(".jpg").partition("-")
+        want = {"smooth": image, "noisy": noisy, "grey": np.repeat(image[..., :1], 3, 2), "flat": np.full((*size, 3), 77, np.uint8)}[name]
+        got = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.channels)[..., :3]
+        assert got.shape == want.shape
+        errors[name, q] = np.abs(got.astype(int) - want).mean()
+    assert len(errors) == 8 and all(errors[n, "95"] < 3 for n in ("smooth", "grey", "flat")) and errors["noisy", "95"] <= errors["noisy", "50"] < 45
+
+
 def test_moving_files(spark, tmp_path):
     (tmp_path / "a.png").write_bytes(b"1")
     moves = spark.createDataFrame([("a.png", "_rejected/a.png"), ("none.png", "_rejected/none.png")], "path string, target string")
