@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..plans.storage import apart, checkpointed, written
 from .memo import forget
 
-__all__ = ["apart", "checkpointed", "column_names", "columns", "table", "words_of", "written"]
+__all__ = ["apart", "checkpointed", "column_names", "columns", "numbered", "table", "words_of", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,11 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """`df` with its columns named c0, c1, ... in order, as Python functions over batches can't have names with dots or repeated ones; toDF() names them back."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def column_names(df: DataFrame, **wanted: str) -> list[Column]:
     """Only the wanted columns, under the operator's own names; whatever else `df` has stays out of its way."""
     return [F.col(f"`{source}`").alias(name) for name, source in wanted.items()]

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_names, columns, written
+from .common import column_names, columns, numbered, written
 
 WIDTH, LEAST, SIDE = 5, 0.8, 0.5
 PART, STEP = 64, 64
@@ -323,12 +323,12 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
 
     With several shards, a pass for each, and what is left is written in between.
     """
-    kept, schema = docs.select(*(F.col(f"`{n}`") for n in docs.columns)), docs.schema
+    kept, text = numbered(docs), f"c{docs.columns.index(text_col)}"
     shards, indexes = _shards(_items(benchmark, item_col, item_text_col), shard_bytes)
     for k, index in enumerate(indexes):
-        kept = kept.mapInArrow(_filter(index, text_col), schema)
+        kept = kept.mapInArrow(_filter(index, text), kept.schema)
         kept = written(kept) if k + 1 < shards else kept
-    return kept
+    return kept.toDF(*docs.columns)
 
 
 def _filter(index: Index, text_col: str):

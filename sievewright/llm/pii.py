@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_names, columns
+from .common import column_names, columns, numbered
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -394,18 +394,21 @@ def find(docs: DataFrame, model: RandomField | None = None, id_col: str = "doc_i
 def mask(docs: DataFrame, model: RandomField | None = None, text_col: str = "text", chars_col: str | None = None) -> DataFrame:
     """`docs` with every span of personal data replaced by <KIND>; `chars_col`, if given, becomes the new length in code points."""
     field = model or default_model()
-    at, schema = docs.columns.index(text_col), docs.schema
+    at, plain = docs.columns.index(text_col), numbered(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list = []
-            for (texts,) in columns(iter([batch]), text_col):
+            for (texts,) in columns(iter([batch]), f"c{at}"):
                 spans = all_spans([t or "" for t in texts], field)
                 out += [None if t is None else _masked(t, base + added) for t, (base, added) in zip(texts, spans, strict=True)]
             yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
 
-    masked = docs.select(*(F.col(f"`{n}`") for n in docs.columns)).mapInArrow(run, schema)
-    return masked.withColumn(chars_col, F.length(F.col(f"`{text_col}`")).cast(schema[chars_col].dataType)) if chars_col else masked
+    masked = plain.mapInArrow(run, plain.schema)
+    if chars_col:
+        n = f"c{docs.columns.index(chars_col)}"
+        masked = masked.withColumn(n, F.length(f"c{at}").cast(plain.schema[n].dataType))
+    return masked.toDF(*docs.columns)
 
 
 def digests(found: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_names, columns
+from .common import column_names, columns, numbered
 from .memo import Memo, kept
 
 #: Which letters a sign may stand for.
@@ -397,15 +397,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of `docs` whose score is under 0.5, with all of their columns."""
 
-    names = docs.columns
-    schema = docs.schema
+    plain, at = numbered(docs), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer()
         for batch in batches:
             keep: list[bool] = []
-            for (texts,) in columns(iter([batch]), text_col, remembers=True):
+            for (texts,) in columns(iter([batch]), f"c{at}", remembers=True):
                 keep += [scorer.score(t) < 0.5 for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.select(*(F.col(f"`{n}`") for n in names)).mapInArrow(run, schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -87,3 +87,16 @@ def test_empty_documents(spark, folder):
         assert frame.collect() == []
 
 
+def test_stages_with_any_column_names_nulls_and_repeated_ids(spark, folder):
+    """Columns beside the documents' own, of names that operators use inside or that have dots, repeated rows, null ids and a long text."""
+    at = folder[0]
+    rows = [(i % 40 if i < 60 else None, t, "en", "s", n) for i, (_, t, _, _, n) in enumerate(folder[1][:70])] + [(900, "word " * 60_000, "en", "s", 300_000)]
+    extra = ["_row", "row", "tie", "found", "a.b", "score", "text_hash"]
+    frame = spark.createDataFrame(rows, COLUMNS).selectExpr("*", *(f"1L AS `{n}`" for n in extra))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, frame, at)
+        assert out.columns == frame.columns, name
+        out = written(out)
+        assert 0 < out.count() <= frame.count() and out.where("doc_id = 900").count() == 1
+        frame = out
+    assert corpus_pipeline.STAGES[-1][1](spark, frame, at).count() == frame.count()
