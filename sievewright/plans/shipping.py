@@ -9,10 +9,18 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: Rows of an Arrow batch: they hold whole texts and images, in each worker and twice on the way to it.
+BATCH_ROWS = 512
+
+
+def prepare(spark: SparkSession) -> None:
+    """What all plans of this package ask of a session, the same for each, so that no query depends on what ran before it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def ship(spark: SparkSession) -> None:
-    """Add the package to the Python path of the session's workers, once for each application."""
+    """Prepare the session, and add the package to the Python path of its workers, once for each application."""
+    prepare(spark)
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
