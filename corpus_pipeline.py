@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievewright.llm import bpe, decontaminate, pii, queries, simhash, toxicity
 from sievewright.llm.common import table, written
+from sievewright.plans.shipping import prepare
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +36,15 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-STAGES = [(f.__name__, f) for f in (toxic_out, near_duplicates_out, contaminated_out, personal_data_masked, encoded)]
+def _prepared(stage):
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        prepare(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES = [(f.__name__, _prepared(f)) for f in (toxic_out, near_duplicates_out, contaminated_out, personal_data_masked, encoded)]
 
 #: SQL can't express learned scores and similarity links; tests hold each stage against brute force.
 ORACLE_SQL = None
