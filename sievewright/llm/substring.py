@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from .common import apart, column_names, columns, words_of, written
 
 LENGTH, GRAM, HEAVY = 50, 8, 4096
+#: A group up to so many times too heavy is parted by a longer prefix; the blocks of a heavier one are made at once.
+TWICE = 2
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -155,10 +157,11 @@ class Repeats:
     last: np.ndarray
     source: np.ndarray
     source_first: np.ndarray
+    least: tuple[np.ndarray, np.ndarray, list[bytes]]  # of segments of blocks (segment, window, digest): windows that no smaller doc_id here has
 
 
-def repeats(docs: np.ndarray, segments: list[bytes], from_: np.ndarray, to: np.ndarray, length: int) -> Repeats:
-    """What the deep nodes say of the segments of whole groups; from_ and to are the segments' windows."""
+def repeats(docs: np.ndarray, segments: list[bytes], from_: np.ndarray, to: np.ndarray, split: np.ndarray, length: int) -> Repeats:
+    """What the deep nodes say of the segments of whole groups, or (split) of blocks; from_ and to are the segments' windows."""
     ids: dict = {}
     words_of_each = [t.split() for t in segments]
     flat: list[int] = []
@@ -185,7 +188,9 @@ def repeats(docs: np.ndarray, segments: list[bytes], from_: np.ndarray, to: np.n
     goes_on = (seg[1:] == seg[:-1]) & (w[1:] == w[:-1] + 1) & (src[1:] == src[:-1]) & (src_w[1:] == src_w[:-1] + 1)
     begin = np.flatnonzero(np.concatenate(([True], ~goes_on))[: len(hit)])
     end = np.append(begin[1:], len(hit))[: len(begin)] - 1
-    return Repeats(seg[begin], w[begin], w[end], src[begin], src_w[begin])
+    open_ = np.flatnonzero((doc == least) & split[segment])
+    digests = [xxhash.xxh3_128_digest(b" ".join(words_of_each[i][p : p + length])) for i, p in zip(segment[open_].tolist(), place[open_].tolist(), strict=True)]
+    return Repeats(seg[begin], w[begin], w[end], src[begin], src_w[begin], (segment[open_], window[open_], digests))
 
 
 # --- the passes -------------------------------------------------------------------------------------
@@ -220,70 +225,71 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_hash", "packed"])
 
 
-#: A segment (key, windows first..last, the anchor's place, text) that is built if it isn't open; or a window of an open group (node).
-_SEGMENTS = {"key": pa.binary(), "open": pa.bool_(), "doc_id": pa.int64(), "text_hash": pa.int64(), "first": pa.int64(), "last": pa.int64(), "at": pa.int64(), "segment": pa.binary()}
-_SEGMENTS_SCHEMA = "key binary, open boolean, doc_id long, text_hash long, first long, last long, at long, segment binary"
-#: What a pass gives: repeated spans with their source; what is open goes along, a segment or, without text, a window.
-_ROWS = {"key": pa.binary(), "doc_id": pa.int64(), "text_hash": pa.int64(), "first": pa.int64(), "last": pa.int64(), "at": pa.int64(), "segment": pa.binary(), "source": pa.int64(), "source_first": pa.int64()}
-_ROWS_SCHEMA = "key binary, doc_id long, text_hash long, first long, last long, at long, segment binary, source long, source_first long"
+#: A segment (key, windows first..last, the anchor's place, text, segments of the group that it was in): open, to be sized by its new key, or to be built, with a whole group or (split) a block of one.
+_SEGMENTS = {"key": pa.binary(), "open": pa.bool_(), "split": pa.bool_(), "doc_id": pa.int64(), "text_hash": pa.int64(), "first": pa.int64(), "last": pa.int64(), "at": pa.int64(), "segment": pa.binary(), "parent": pa.int64()}
+_SEGMENTS_SCHEMA = "key binary, open boolean, split boolean, doc_id long, text_hash long, first long, last long, at long, segment binary, parent long"
+#: What a pass gives: repeated spans with their source; blocks' windows that are still open (key: their digest); open segments, with their text.
+_ROWS = {"key": pa.binary(), "doc_id": pa.int64(), "text_hash": pa.int64(), "first": pa.int64(), "last": pa.int64(), "at": pa.int64(), "segment": pa.binary(), "parent": pa.int64(), "source": pa.int64(), "source_first": pa.int64()}
+_ROWS_SCHEMA = "key binary, doc_id long, text_hash long, first long, last long, at long, segment binary, parent long, source long, source_first long"
 
 
 def _batch(rows: list[tuple], kinds: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds))
 
 
-def _lengthened(doc: int, text_hash: int, words: list[bytes], first: int, last: int, at: int, prefix: int, length: int) -> list[tuple]:
-    """A heavy segment's parts by the longer prefix, open: their groups aren't known yet. Whole windows need no text."""
-    out = []
-    for key, lo, hi in longer(words, first, last, at, prefix, length):
-        text = None if prefix == length else b" ".join(words[lo - first : hi - first + length])
-        out.append((key, True, doc, text_hash, lo, hi, at, text))
-    return out
+def _parts(r: dict, words: list[bytes], prefix: int, length: int, heavy: int) -> list[tuple]:
+    """What becomes of a segment whose group has r["n"] of them: built, or parted by a longer prefix, or dealt into a block."""
+    key, doc, text_hash, first, last, at, n = r["key"], r["doc_id"], r["text_hash"], r["first"], r["last"], r["at"], r["n"]
+    if n <= heavy:
+        return [(key, False, False, doc, text_hash, first, last, at, b" ".join(words), n)]
+    if prefix == length or n > TWICE * heavy:
+        block = xxhash.xxh64_intdigest(b"%d %d" % (doc, text_hash)) % -(-n * 3 // (2 * heavy))
+        return [(key + block.to_bytes(8, "little"), False, True, doc, text_hash, first, last, at, b" ".join(words), n)]
+    return [(k, True, False, doc, text_hash, lo, hi, at, b" ".join(words[lo - first : hi - first + length]), n) for k, lo, hi in longer(words, first, last, at, prefix, length)]
 
 
-def _segments(batches: Iterator[pa.RecordBatch], length: int, prefix: int) -> Iterator[pa.RecordBatch]:
-    """Documents with their repeated anchors -> a segment for each light anchor, and for heavy ones segments by a longer prefix."""
+def _segments(batches: Iterator[pa.RecordBatch], length: int, prefix: int, heavy: int) -> Iterator[pa.RecordBatch]:
+    """Documents with their repeated anchors and their numbers -> the anchors' segments, those of heavy ones by the next `prefix`."""
     unpack = zstandard.ZstdDecompressor().decompress
     for ids, hashes, texts, found in columns(batches, "doc_id", "text_hash", "packed", "found", at_once=64):
         out: list[tuple] = []
         for doc, text_hash, packed, anchors_ in zip(ids, hashes, texts, found, strict=True):
             words = unpack(packed).split()
             for a in anchors_:
-                lo, hi = a["first"], a["last"]
-                own = words[lo : hi + length]
-                if a["heavy"]:
-                    out += _lengthened(doc, text_hash, own, lo, hi, a["at"], prefix, length)
-                else:
-                    out.append((a["hash"].to_bytes(8, "little", signed=True), False, doc, text_hash, lo, hi, a["at"], b" ".join(own)))
+                row = a | {"key": a["hash"].to_bytes(8, "little", signed=True), "doc_id": doc, "text_hash": text_hash}
+                out += _parts(row, words[a["first"] : a["last"] + length], prefix, length, heavy)
         if out:
             yield _batch(out, _SEGMENTS)
 
 
-def _again(batches: Iterator[pa.RecordBatch], length: int, prefix: int) -> Iterator[pa.RecordBatch]:
-    """Open segments, of groups whose size is known now -> the light ones to be built, the heavy ones by a longer prefix."""
+def _again(batches: Iterator[pa.RecordBatch], length: int, prefix: int, heavy: int) -> Iterator[pa.RecordBatch]:
+    """The size of a group, if it is one of several documents, then its open segments -> the light ones to be built, the heavy ones by the next `prefix`."""
+    now: tuple | None = None
+    n = 0
     for batch in batches:
         for k in range(0, batch.num_rows, 256):
             out: list[tuple] = []
             for r in batch.slice(k, 256).to_pylist():
-                if r["heavy"]:
-                    out += _lengthened(r["doc_id"], r["text_hash"], r["segment"].split(), r["first"], r["last"], r["at"], prefix, length)
-                else:
-                    out.append((r["key"], False, r["doc_id"], r["text_hash"], r["first"], r["last"], r["at"], r["segment"]))
+                if r["n"] is not None:
+                    now, n = (r["key"], r["salt"]), r["n"]
+                elif (r["key"], r["salt"]) == now:
+                    out += _parts(r | {"n": n}, r["segment"].split(), prefix, length, heavy)
             if out:
                 yield _batch(out, _SEGMENTS)
 
 
 def _trees(batches: Iterator[pa.RecordBatch], length: int, at_once: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Segments, those of a light group next to each other -> spans that a smaller doc_id has too; what is open passes.
+    """Segments, those of a light group or block next to each other -> spans that a smaller doc_id has too, and blocks' open windows; open segments pass.
 
-    Groups are built together up to `at_once` bytes of text; a single group has `heavy` segments at most.
+    Groups are built together up to `at_once` bytes of text; a single group has `heavy` segments at most, a block about as many.
     """
 
     def build(rows: pa.Table) -> pa.RecordBatch:
         docs, hashes, first, last = (rows.column(c).to_numpy() for c in ("doc_id", "text_hash", "first", "last"))
-        r = repeats(docs, rows.column("segment").to_pylist(), first, last, length)
-        none = [None] * len(r.segment)
-        values = (none, docs[r.segment], hashes[r.segment], r.first, r.last, none, none, r.source, r.source_first)
+        r = repeats(docs, rows.column("segment").to_pylist(), first, last, rows.column("split").to_numpy(), length)
+        seg, at, digests = r.least
+        both, few, many = np.concatenate((r.segment, seg)), [None] * len(r.segment), [None] * len(seg)
+        values = (few + digests, docs[both], hashes[both], np.concatenate((r.first, at)), np.concatenate((r.last, at)), few + many, few + many, few + many, r.source.tolist() + many, r.source_first.tolist() + many)
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, _ROWS.values(), strict=True)], list(_ROWS))
 
     held: list[pa.RecordBatch] = []
@@ -293,7 +299,7 @@ def _trees(batches: Iterator[pa.RecordBatch], length: int, at_once: int = 4 << 2
         passes, batch = batch.filter(open_), batch.filter(pc.invert(open_))
         if passes.num_rows:
             none = pa.nulls(passes.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(passes.column(n) for n in list(_ROWS)[:7]), none, none], list(_ROWS))
+            yield pa.RecordBatch.from_arrays([*(passes.column(c) for c in list(_ROWS)[:8]), none, none], list(_ROWS))
         for k in range(0, batch.num_rows, 2048):
             part = batch.slice(k, 2048)
             held.append(part)
@@ -335,12 +341,25 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*arrays[:4], arrays[4].cast(pa.string())], names)
 
 
-def _sized(rows: DataFrame, key: str, heavy: int) -> DataFrame:
-    """`rows` whose key more than one doc_id has, with `heavy`: whether more than `heavy` rows have it. A count with map-side
+def _sized(rows: DataFrame, key: str) -> DataFrame:
+    """`rows` whose key more than one doc_id has, with `n`, the number of rows that have it. A count with map-side
     combine; both sides of the join are exchanged, so that a hot key can be split."""
     shared = rows.groupBy(key).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    hidden = F.concat(key, F.lit(b"")).alias(key) if dict(rows.dtypes)[key] == "binary" else apart(key)
-    return rows.join(shared.select(hidden, (F.col("n") > heavy).alias("heavy")), key)
+    return rows.join(shared.select(apart(key), "n"), key)
+
+
+def _with_sizes(open_: DataFrame, heavy: int) -> DataFrame:
+    """Open segments, with `salt`, after a row that has their group's size `n`, if more than one doc_id has its key.
+
+    A group's rows are dealt over as many salts as the group that they come from had blocks, and so is its size, so that a hot
+    group is in no one task and no join has to find it.
+    """
+    blocks = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("parent") * 3 / (2 * heavy)).cast("long"))
+    counts = open_.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"), F.max("parent").alias("parent")).where("lo < hi")
+    sizes = counts.select("key", "n", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("salt"))
+    dealt = open_.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), blocks))
+    both = sizes.unionByName(dealt, allowMissingColumns=True)
+    return both.repartition("key", "salt").sortWithinPartitions("key", "salt", F.col("n").asc_nulls_last())
 
 
 @dataclass
@@ -363,7 +382,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = marked.where("doc_id > least").select("doc_id", "text_hash", F.col("least").alias("source"), "n_words").distinct()
     occurs = marked.where("doc_id = least").select("doc_id", "text_hash", F.explode(F.arrays_zip("hashes", "first", "last", "at")).alias("a"))
     occurs = occurs.select("doc_id", "text_hash", F.col("a.hashes").alias("hash"), *(F.col(f"a.{c}").alias(c) for c in ("first", "last", "at")))
-    lists = _sized(occurs, "hash", heavy).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("hash", "first", "last", "at", "heavy")).alias("found"))
+    lists = _sized(occurs, "hash").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("hash", "first", "last", "at", "n")).alias("found"))
     held = texts.join(lists, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", "packed", "found")
 
     def built(segments: DataFrame) -> DataFrame:
@@ -372,13 +391,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         rows = segments.withColumn("dealt", dealt).repartition("dealt").sortWithinPartitions("dealt", "key").drop("dealt")
         return written(rows.mapInArrow(lambda batches: _trees(batches, length), _ROWS_SCHEMA))
 
-    prefixes = iter(prefix_lengths(length, gram)[1:])
-    passes = [built(held.mapInArrow(lambda batches, p=next(prefixes, length): _segments(batches, length, p), _SEGMENTS_SCHEMA))]
-    for prefix in prefixes:
+    second, *rest = [*prefix_lengths(length, gram)[1:], length]
+    passes = [built(held.mapInArrow(lambda batches: _segments(batches, length, second, heavy), _SEGMENTS_SCHEMA))]
+    for prefix in rest:
         open_ = passes[-1].where("segment is not null").drop("source", "source_first")
         if open_.isEmpty():
             break
-        passes.append(built(_sized(open_, "key", heavy).mapInArrow(lambda batches, p=prefix: _again(batches, length, p), _SEGMENTS_SCHEMA)))
+        passes.append(built(_with_sizes(open_, heavy).mapInArrow(lambda batches, p=prefix: _again(batches, length, p, heavy), _SEGMENTS_SCHEMA)))
     spans, windows = None, None
     for rows in passes:
         some = rows.where("source is not null").select("doc_id", "text_hash", F.col("first").alias("start"), (F.col("last") + length).alias("stop"), "source", F.col("source_first").alias("source_start"))
@@ -393,7 +412,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def maximal_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, heavy: int = HEAVY) -> DataFrame:
     """(doc_id, start, stop, source, source_start): passages of `length` words or more that a smaller doc_id has too, in words.
 
-    For each window the source is the smallest doc_id that has it, at its first place there; windows that follow each other
+    For each window the source is the smallest doc_id that has it, at its first place there, but in a group that is heavy to the
+    end the smallest one of a block; windows that follow each other
     in both documents are one passage, which can't be made longer with this source. A copy is one passage.
     """
     found = repeated_spans(docs, id_col, text_col, length, gram, heavy)
