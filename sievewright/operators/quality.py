@@ -50,6 +50,17 @@ def run_totals(gated: DataFrame, video: str = "video", reason: str = "reason") -
     return gated.rollup(video).agg(*counters(gated, video, reason))
 
 
+def percentile_of(scores: Column, share: float) -> Column:
+    """The percentile of a sorted array of doubles, null for an empty one, to the last bit of DuckDB's `quantile_cont`: between the
+    two nearest, lo * (1 - d) + hi * d with the first product and the sum rounded at once. `F.percentile` rounds both, and a score that
+    equals the threshold is then on the other side of it."""
+    at = (F.size(scores) - 1) * F.lit(share)
+    d = at - F.floor(at)
+    lo, hi = (F.get(scores, place(at).cast("int")) for place in (F.floor, F.ceil))
+    fused = F.reflect(F.lit("java.lang.Math"), F.lit("fma"), lo, 1 - d, hi * d).cast("double")  # there is no such function in SQL
+    return F.when(d == 0, lo).when(lo.isNotNull(), fused)
+
+
 def auto_threshold(frames: DataFrame, keep_percent: float = 60.0, sample: int = 50, default: float = 50.0, video: str = "video", index: str = "frame_index", score: str = "blur") -> DataFrame:
     """(video, n_frames, threshold): the exact percentile of a sample's scores that keeps `keep_percent` of them.
 
@@ -60,9 +71,10 @@ def auto_threshold(frames: DataFrame, keep_percent: float = 60.0, sample: int =
 
     order = Window.partitionBy(video).orderBy(F.md5(F.concat_ws(":", F.col(video), F.col(index))), F.col(index))
     ranked = frames.select(video, index, score, F.row_number().over(order).alias("_rank"))
-    picked = F.when(F.col("_rank") <= sample, F.col(score))
-    found = ranked.groupBy(video).agg(F.count("*").alias("n_frames"), F.percentile(picked, 1 - keep_percent / 100).alias("_p"))
-    return found.select(video, "n_frames", F.when(F.col("n_frames") < 10, F.lit(default)).otherwise(F.coalesce("_p", F.lit(default))).alias("threshold"))
+    picked = F.when(F.col("_rank") <= sample, F.col(score).cast("double"))
+    found = ranked.groupBy(video).agg(F.count("*").alias("n_frames"), F.sort_array(F.collect_list(picked)).alias("_scores"))
+    p = percentile_of(F.col("_scores"), 1 - keep_percent / 100)
+    return found.select(video, "n_frames", F.when(F.col("n_frames") < 10, F.lit(default)).otherwise(F.coalesce(p, F.lit(default))).alias("threshold"))
 
 
 def in_segments(frames: DataFrame, segments: DataFrame, video: str = "video", t: str = "t") -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+from fractions import Fraction
 from itertools import pairwise
 
 import numpy as np
@@ -29,6 +30,25 @@ def test_auto_threshold_keeps_its_share(spark):
     assert got[1] == pytest.approx(np.percentile(range(40), 40)) and got[2] == 50.0
 
 
+def test_percentiles_round_once(spark):
+    rng = random.Random(3)
+    rows = [(v, i, round(rng.expovariate(0.05), 2)) for v in range(200) for i in range(10 + v % 41)]
+    got = {r.video: r.threshold for r in quality.auto_threshold(spark.createDataFrame(rows, "video int, frame_index int, blur double")).collect()}
+    for v in range(200):
+        scores = sorted(x for w, _, x in rows if w == v)
+        at = (len(scores) - 1) * 0.4
+        lo, d = int(at), at - int(at)
+        want = Fraction(scores[lo]) * Fraction(1 - d) + Fraction(scores[lo + (d > 0)] * d)
+        assert got[v] == float(want)
+
+
+def test_percentile_of_odd_scores(spark):
+    inf, nan = float("inf"), float("nan")
+    cases = [[], [3.3], [2.5] * 7, [-inf, inf], [1.0, inf], [1.0, nan], [-inf, -inf, 0.0], [5e-324, 1e308]]
+    got = [r.p for r in spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, v array<double>").select("i", quality.percentile_of(F.col("v"), 0.4).alias("p")).orderBy("i").collect()]
+    assert list(map(repr, got)) == list(map(repr, [None, 3.3, 2.5, nan, inf, nan, -inf, 1e308 * 0.4]))
+
+
 def test_segments(spark):
     frames = spark.createDataFrame([(v, float(t)) for v in "ab" for t in range(12)], "video string, t double")
     spans = spark.createDataFrame([("a", 9.0, 3.0), ("a", 5.0, 6.0)], "video string, start double, stop double")
